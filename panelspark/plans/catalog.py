@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.plans import times
+from panelspark.plans import periods, times
 
-MODULES = (times,)
+MODULES = (times, periods)
 
 
 def queries() -> dict:
