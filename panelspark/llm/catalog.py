@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import lines, nearest, pieces, topn
+from panelspark.llm import encode, lines, nearest, pieces, topn, turns
 
-MODULES = (nearest, lines, topn, pieces)
+MODULES = (nearest, lines, topn, pieces, turns, encode)
 
 
 def queries() -> dict:
