@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.llm import encode, lines, nearest, personal, pieces, topn, turns
+from panelspark.llm import encode, lines, mixture, nearest, personal, pieces, topn, turns
 
-MODULES = (nearest, lines, topn, pieces, turns, encode, personal)
+MODULES = (nearest, lines, topn, pieces, turns, encode, mixture, personal)
 
 
 def queries() -> dict:
