@@ -104,7 +104,7 @@ def robust_scale(df: DataFrame, value: str = "close", window: int = 20) -> DataF
 
 
 def risk_window(df: DataFrame, value: str = "log_ret", window: int = 26, tail: float = 0.2) -> DataFrame:
-    """Downside deviation (two negatives at least, else 0), mean of the worst ``tail`` of
+    """Downside deviation (two negatives at least, else 0), mean size of the worst ``tail`` of
     the negatives (full windows only, else 0) and share of losses, over the last rows."""
     w = frame(window)
     neg = F.when(F.col(value) < 0, F.col(value))
@@ -113,7 +113,7 @@ def risk_window(df: DataFrame, value: str = "log_ret", window: int = 26, tail: f
     out = out.withColumn("downside_dev", F.when(F.size("_list") >= 2, F.stddev_pop("_neg").over(w)).otherwise(F.lit(0.0)))
     tails = F.expr("filter(_list, x -> x <= _cut)")
     mean = F.aggregate(tails, F.lit(0.0), lambda a, x: a + x) / F.size(tails)
-    out = out.withColumn("cvar", F.when((F.col("_n") == window) & (F.size("_list") > 0), mean).otherwise(F.lit(0.0)))
+    out = out.withColumn("cvar", F.when((F.col("_n") == window) & (F.size("_list") > 0), -mean).otherwise(F.lit(0.0)))
     return out.withColumn("loss_freq", F.coalesce(ratio(F.size("_list").cast("double"), F.col("_n").cast("double")), F.lit(0.0))).drop("_neg", "_list", "_n", "_cut")
 
 

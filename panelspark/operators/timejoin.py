@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def epoch(c: str | Column) -> Column:
-    """Whole seconds of a timestamp."""
-    return F.floor(F.unix_micros(c) / 1_000_000)
+    """Whole seconds of a timestamp, with or without zone (then UTC is meant)."""
+    return F.floor(F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp")) / 1_000_000)
 
 
 def assign_windows(df: DataFrame, windows: DataFrame, *, ts: str, start: str, end: str, by: list[str] | None = None, closed_left: bool = False, block_s: int = 7 * 86400) -> DataFrame:

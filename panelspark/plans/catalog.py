@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.plans import periods, times
+from panelspark.plans import joins, market, periods, selecting, times
 
-MODULES = (times, periods)
+MODULES = (times, periods, market, joins, selecting)
 
 
 def queries() -> dict:
