@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.plans import joins, market, periods, selecting, times
+from panelspark.plans import experiments, joins, market, periods, selecting, streams, texts, times
 
-MODULES = (times, periods, market, joins, selecting)
+MODULES = (times, periods, market, joins, selecting, experiments, texts, streams)
 
 
 def queries() -> dict:
