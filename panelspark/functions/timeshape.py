@@ -219,15 +219,18 @@ def normalise(
 
     Null, empty, zero and wordy values, impossible dates and unknown shapes give null.
     A civil time that occurs twice means the first; one that is skipped is read with the
-    offset before the change. Fractions of seconds are dropped. Input columns are kept;
-    helper columns can't clash because they are dropped before returning.
+    offset before the change. Fractions of seconds are dropped. Input columns are kept
+    whatever their names, except ones called like the outputs, which are replaced.
     """
     spark = df.sparkSession
     keep = df.columns
     zone_col = F.lit(zone) if isinstance(zone, str) or zone is None else zone
     names = sorted({*(zones or []), *([zone] if isinstance(zone, str) else []), date_zone})
-    d = df.withColumn("_v", clean(F.col(f"`{column}`").cast("string"))).withColumn("_mask", mask_of(F.col("_v")))
-    d = d.withColumn("_fallback", zone_col).withColumn("_dayfirst", F.coalesce(day_first, F.lit(False)) if day_first is not None else F.lit(False))
+    # the input travels as one struct, so none of its columns can clash with helpers
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
+    swap_if = F.coalesce(day_first, F.lit(False)) if day_first is not None else F.lit(False)
+    d = df.select(row, F.col(f"`{column}`").cast("string").alias("_raw"), zone_col.cast("string").alias("_fallback"), swap_if.alias("_dayfirst"))
+    d = d.withColumn("_v", clean(F.col("_raw"))).withColumn("_mask", mask_of(F.col("_v")))
     table = mask_table(spark).select("mask", F.struct(*[c for c in LAYOUT.fieldNames() if c != "mask"]).alias("_p"))
     d = d.join(F.broadcast(table), F.col("_mask") == F.col("mask"), "left").drop("mask")
     some = F.col("_p").isNotNull()
@@ -277,7 +280,7 @@ def normalise(
         d = d.withColumn("_instant", F.when(said, F.col(out)))
         d = civil_from_epoch(d, "_instant", date_zone, "_zoned")
         d = d.withColumn(local_date, F.when(said, F.to_date(F.timestamp_seconds("_zoned"))).when(F.col("_secs").isNotNull(), F.col("_date")))
-    return d.select(*[F.col(f"`{c}`") for c in keep if c not in made], *made)
+    return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep if c not in made], *made)
 
 
 def civil_from_epoch(df: DataFrame, column: str, zone: str, out: str) -> DataFrame:
