@@ -68,12 +68,15 @@ def remove_repeated_lines(df: DataFrame, *, group: str, doc: str, text: str, min
     """
     hits = flagged_lines(df, group=group, doc=doc, text=text, min_docs=min_docs, min_share=min_share)
     per_doc = hits.groupBy(F.col("doc").alias("_hit_doc")).agg(F.collect_set("line_no").alias("_hit"))  # at most a document's lines
-    base = df.drop("clean_text", "n_removed")
-    joined = base.join(per_doc, base[doc] == F.col("_hit_doc"), "left")
-    hit = F.when(F.col(group).isNotNull(), F.col("_hit"))
-    kept = F.expr(f"filter(split(`{text}`, '\\n', -1), (x, i) -> NOT array_contains(_use, i + 1))")
-    out = joined.withColumn("_use", F.coalesce(hit, F.array().cast("array<int>")))
-    return out.withColumn("clean_text", F.when(F.size("_use") == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))).withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.size("_use"))).drop("_hit_doc", "_hit", "_use")
+    # the input travels as one struct, so none of its columns can clash with helpers
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(group).alias("_group"))
+    joined = base.join(per_doc, F.col("_doc") == F.col("_hit_doc"), "left")
+    use = F.coalesce(F.when(F.col("_group").isNotNull(), F.col("_hit")), F.array().cast("array<int>"))
+    kept = F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_use"), (i + 1).cast("int")))
+    out = joined.withColumn("_use", use)
+    clean = F.when(F.size("_use") == 0, F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_use"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in ("clean_text", "n_removed")], clean.alias("clean_text"), n.alias("n_removed"))
 
 
 PARAMETERS = {"group": "source", "doc": "doc_id", "text": "text", "min_docs": 10}
