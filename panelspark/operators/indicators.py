@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("ticker").orderBy("date")
+def ordered():
+    """Rows of a ticker by date; a function, as a window needs a running session."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def frame(n: int):
     """The last n rows including the current one."""
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return ordered().rowsBetween(-(n - 1), 0)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -29,8 +31,8 @@ def positive_log(c: str) -> Column:
 
 def returns(df: DataFrame, vol: int = 20) -> DataFrame:
     """Log return, simple return, rolling sample deviation of log returns."""
-    d = df.withColumn("ret_log", positive_log("close") - F.lag(positive_log("close")).over(ORDER))
-    d = d.withColumn("ret_pct", ratio(F.col("close"), F.lag("close").over(ORDER)) - 1)
+    d = df.withColumn("ret_log", positive_log("close") - F.lag(positive_log("close")).over(ordered()))
+    d = d.withColumn("ret_pct", ratio(F.col("close"), F.lag("close").over(ordered())) - 1)
     return d.withColumn("realized_vol", F.stddev_samp("ret_log").over(frame(vol)))
 
 
@@ -63,9 +65,9 @@ def volume_price_stats(df: DataFrame, n: int = 20) -> DataFrame:
 
 def obv_updays(df: DataFrame, n: int = 5) -> DataFrame:
     """On-balance volume (0 on the first row) and share of rising days."""
-    move = F.col("close") - F.lag("close").over(ORDER)
+    move = F.col("close") - F.lag("close").over(ordered())
     out = df.withColumn("_signed", F.coalesce(F.signum(move) * F.col("volume"), F.lit(0.0))).withColumn("_up", F.coalesce((move > 0).cast("double"), F.lit(0.0)))
-    out = out.withColumn("obv", F.sum("_signed").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("obv", F.sum("_signed").over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("up_day_ratio", F.avg("_up").over(frame(n))).drop("_signed", "_up")
 
 
@@ -80,9 +82,9 @@ def kurtosis(df: DataFrame, value: str = "close", n: int = 20) -> DataFrame:
 
 def drawdown(df: DataFrame, value: str = "close") -> DataFrame:
     """Running maximum, drawdown from it, and growth since the first row."""
-    out = df.withColumn("run_max", F.max(value).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    out = df.withColumn("run_max", F.max(value).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("drawdown", ratio(F.col("run_max") - F.col(value), F.col("run_max")))
-    out = out.withColumn("cum_log", F.sum(F.coalesce(F.col("log_ret"), F.lit(0.0))).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("cum_log", F.sum(F.coalesce(F.col("log_ret"), F.lit(0.0))).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("cum_ret", F.exp("cum_log") - 1)
 
 

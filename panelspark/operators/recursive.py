@@ -48,7 +48,7 @@ def rsi(close: np.ndarray, n: int) -> np.ndarray:
     move = np.r_[np.nan, np.diff(close)]
     up, down = wilder(np.where(np.isnan(move), np.nan, np.maximum(move, 0)), n), wilder(np.where(np.isnan(move), np.nan, np.maximum(-move, 0)), n)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(up + down > 0, 100 * up / (up + down), np.nan)
+        return np.where(up + down > 0, 100 * (up / (up + down)), np.nan)
 
 
 def directional_index(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndarray:

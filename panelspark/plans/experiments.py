@@ -42,7 +42,7 @@ r AS (SELECT ticker, rn, date, close, close AS e20, close AS e12, close AS e26,
  FROM r JOIN n ON n.ticker = r.ticker AND n.rn = r.rn + 1)"""
 
 
-@query("WITH RECURSIVE " + BARS + _EMA + f" SELECT ticker, CAST(date AS VARCHAR) AS date, {sql_num('e20', 'ema')}, {sql_num('e12 - e26', 'macd')}, {sql_num('CASE WHEN u + d > 1e-12 THEN 100 * u / (u + d) END', 'rsi')}, {sql_num('atr', 'atr')}, {sql_num('CASE WHEN close > 0 THEN atr / close END', 'atr_pct')} FROM r")
+@query("WITH RECURSIVE " + BARS + _EMA + f" SELECT ticker, CAST(date AS VARCHAR) AS date, {sql_num('e20', 'ema')}, {sql_num('e12 - e26', 'macd')}, {sql_num('CASE WHEN u + d > 1e-12 THEN 100 * (u / (u + d)) END', 'rsi')}, {sql_num('atr', 'atr')}, {sql_num('CASE WHEN close > 0 THEN atr / close END', 'atr_pct')} FROM r")
 def ema_macd_rsi_atr(spark, d):
     x = recursive_indicators(bars(spark, d))
     nan = lambda c: F.when(~F.isnan(c), F.col(c))
