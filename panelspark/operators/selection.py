@@ -54,11 +54,13 @@ def whitelist_context(df: DataFrame, whitelist: DataFrame, *, group: list[str],
 
 
 def score_v1(df: DataFrame, *, group: list[str], ts: str, end: str, length: str, src_score: str, weights: tuple[float, float, float] = (0.5, 0.2, 0.3), half_life_days: float = 7.0) -> DataFrame:
-    """T4: adds ``rec`` and ``score`` = recency half-life + min-max length + source score / 3."""
+    """T4: adds ``rec`` and ``score`` = recency half-life + min-max length + source score / 3.
+    Rows with a null group column are left out."""
     age = F.greatest(F.col(end) - F.col(ts), F.lit(0)) / 86400.0
     n = F.coalesce(F.col(length).cast("double"), F.lit(0.0))
-    w = Window.partitionBy(*group)
-    d = df.withColumn("rec", F.exp(-math.log(2) * age / half_life_days)).withColumn("_lo", F.min(n).over(w)).withColumn("_hi", F.max(n).over(w))
+    # the range comes from a partial aggregate and a join, so a hot group fills no task
+    span_of = df.groupBy(*group).agg(F.min(n).alias("_lo"), F.max(n).alias("_hi"))
+    d = df.join(span_of, group).withColumn("rec", F.exp(-math.log(2) * age / half_life_days))
     span = F.when(F.col("_hi") <= F.col("_lo") + 1e-12, F.lit(1.0)).otherwise((n - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     src = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(src_score).cast("double"), F.lit(1.0)) / 3))
     return d.withColumn("score", weights[0] * F.col("rec") + weights[1] * span + weights[2] * src).drop("_lo", "_hi")

@@ -53,15 +53,15 @@ def extract_signal(df: DataFrame, column: str) -> DataFrame:
     top level is. Then each field is taken from the first of its names that is there.
     Null and broken JSON give the defaults.
     """
-    text = F.col(column)
-    at = [F.get_json_object(text, p) for p in SIGNAL_PATHS]
-    obj = F.coalesce(*[F.when(F.substring(F.ltrim(v), 1, 1) == "{", v) for v in at], text)
-    d = df.withColumn("_obj", obj)
-    pick = lambda keys: F.coalesce(*[F.get_json_object("_obj", f"$.{k}") for k in keys])
+    # parsed once into a variant; paths are looked up in its binary form
+    d = df.withColumn("_v", F.try_parse_json(column))
+    at = [F.try_variant_get("_v", p, "variant") for p in SIGNAL_PATHS]
+    d = d.withColumn("_obj", F.coalesce(*[F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in at], F.col("_v")))
+    pick = lambda keys: F.coalesce(*[F.try_variant_get("_obj", f"$.{k}", "string") for k in keys])
     for name in ("signal", "risk_score", "confidence"):
         v = pick(SIGNAL_KEYS[name]).try_cast("double")
         d = d.withColumn(name, F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0)))
-    return d.withColumn("rationale", F.coalesce(pick(SIGNAL_KEYS["rationale"]), F.lit(""))).drop("_obj")
+    return d.withColumn("rationale", F.coalesce(pick(SIGNAL_KEYS["rationale"]), F.lit(""))).drop("_v", "_obj")
 
 
 def clamp(c: Column, low: float, high: float, default: float = 0.0) -> Column:

@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import timeshape
-from panelspark.sources.tables import news_times, sec_times, table
+from panelspark.sources.tables import table
 
 
-def _found(df: DataFrame, field: str, key: str, value: str) -> DataFrame:
-    """Rows whose value denotes something and isn't yet in the form asked for."""
-    raw = field.split(".")[1]
-    return df.where(F.col(value).isNotNull() & (F.col(value) != F.col(raw))).select(F.lit(field).alias("field_name"), F.col(key).alias("rec_key"), F.col(value).alias("norm_value"))
+NEW_YORK = "America/New_York"
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = news_times(spark, sf_dir, "doc_id").withColumn("v", timeshape.utc_text(F.col("published_s")))
-    sec = sec_times(spark, sf_dir, "doc_id").withColumn("v", timeshape.utc_text(F.col("filed_s")))
-    ec = timeshape.normalise(table(spark, sf_dir, "ec", "doc_id", "call_date"), "call_date", local_date="day").withColumn("v", F.col("day").cast("string"))
-    cal = timeshape.normalise(table(spark, sf_dir, "calendar", "curr_close_utc", "week_decision_date"), "week_decision_date", local_date="day").withColumn("v", F.col("day").cast("string"))
-    parts = [_found(news, "news.published_at_utc", "doc_id", "v"), _found(sec, "sec.filed_at_utc", "doc_id", "v"), _found(ec, "ec.call_date", "doc_id", "v"), _found(cal, "calendar.week_decision_date", "curr_close_utc", "v")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    """All four fields as one column of values, so each mask is looked up in one pass."""
+    zones = table(spark, sf_dir, "source_zones").select(F.col("source").alias("sz_source"), "zone", "date_order").dropDuplicates(["sz_source"])
+    names = [r.zone for r in zones.select("zone").distinct().limit(700).collect()]  # IANA names
+    news = table(spark, sf_dir, "news", "doc_id", "source", "published_at_utc").join(F.broadcast(zones), F.col("source") == F.col("sz_source"), "left")
+    field = lambda df, name, key, date, zone=F.lit(NEW_YORK), dmy=F.lit(False): df.select(F.lit(name).alias("field_name"), F.col(key).alias("rec_key"), F.col(name.split(".")[1]).alias("raw"), zone.alias("zone"), dmy.alias("dmy"), F.lit(date).alias("is_date"))
+    rows = (
+        field(news, "news.published_at_utc", "doc_id", False, F.col("zone"), F.col("date_order") == "dmy")
+        .unionByName(field(table(spark, sf_dir, "sec"), "sec.filed_at_utc", "doc_id", False))
+        .unionByName(field(table(spark, sf_dir, "ec"), "ec.call_date", "doc_id", True))
+        .unionByName(field(table(spark, sf_dir, "calendar"), "calendar.week_decision_date", "curr_close_utc", True))
+    )
+    rows = timeshape.normalise(rows, "raw", zone=F.col("zone"), zones=[*names, NEW_YORK], day_first=F.col("dmy"), out="s", local_date="day")
+    value = F.when(F.col("is_date"), F.col("day").cast("string")).otherwise(timeshape.utc_text(F.col("s")))
+    rows = rows.withColumn("norm_value", value).where(F.col("norm_value").isNotNull() & (F.col("norm_value") != F.col("raw")))
+    return rows.select("field_name", "rec_key", "norm_value").distinct()
 
 
 def queries() -> dict:

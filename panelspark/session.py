@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a relation whose size was measured may be broadcast.
 BROADCAST_LIMIT = 32 * 1024 * 1024
@@ -82,3 +83,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Before a stage of heavy per-row work: the same rows over all cores.
+
+    A large input has more partitions than there are cores and stays as it is, without a
+    shuffle; only one that arrives in a few large pieces (one file, one row group) is dealt
+    out by a hash of the keys.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    # behind a shuffle the partitions are AQE's business, and asking would run the shuffle
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *[F.xxhash64(k) for k in keys])
