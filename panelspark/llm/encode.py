@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.session import ship_package
+from panelspark.session import ship_package, spread
 from panelspark.sources.tables import table
 
 #: Entries after which a worker's memo tables are emptied; a bound on memory, not on results.
@@ -195,7 +195,7 @@ def encode_texts(df: DataFrame, *, key: str, text: str, vocabulary: str | None =
                     out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0), out], names=["k", value.split()[0]])
 
-    return rows.mapInArrow(run, f"k {kind}, {value}").withColumnRenamed("k", key)
+    return spread(rows, "k").mapInArrow(run, f"k {kind}, {value}").withColumnRenamed("k", key)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.session import ship_package
+from panelspark.session import ship_package, spread
 from panelspark.sources.tables import table
 
 LIMIT, OVERLAP = 6000, 400
@@ -120,7 +120,7 @@ def split_oversized(df: DataFrame, *, doc: str, field: str, name: str, limit: in
                 spans = cut(text, limit, overlap)
                 yield pd.DataFrame({"doc_id": key, "field_name": name, "piece_no": range(1, len(spans) + 1), "overlap_chars": [n - s for s, n, _ in spans], "piece": [text[s:e] for s, _, e in spans]})
 
-    return rows.mapInPandas(run, _OUT)
+    return spread(rows, "doc_id").mapInPandas(run, _OUT)
 
 
 FIELDS = (("ec", "text"), ("sec", "management_discussion"), ("sec", "risk_factors"))
