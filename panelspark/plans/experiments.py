@@ -49,10 +49,20 @@ def ema_macd_rsi_atr(spark, d):
     return x.select("ticker", day("date"), *[num(nan(c), c) for c in ("ema", "macd", "rsi", "atr", "atr_pct")])
 
 
+_SIGNAL = """, q AS (SELECT ticker, rn, date, e12 - e26 AS m FROM r),
+g AS (SELECT ticker, rn, date, m, m AS s FROM q WHERE rn = 1 UNION ALL SELECT q.ticker, q.rn, q.date, q.m, CASE WHEN q.m IS NULL THEN g.s WHEN g.s IS NULL THEN q.m ELSE g.s + 0.2::DOUBLE * (q.m - g.s) END FROM g JOIN q ON q.ticker = g.ticker AND q.rn = g.rn + 1)"""
+
+
+@query("WITH RECURSIVE " + BARS + _EMA + _SIGNAL + f" SELECT ticker, CAST(date AS VARCHAR) AS date, {sql_num('s', 'macd_signal')}, {sql_num('m - s', 'macd_hist')} FROM g")
+def macd_signal(spark, d):
+    x = recursive_indicators(bars(spark, d))
+    return x.select("ticker", day("date"), *[num(F.when(~F.isnan(c), F.col(c)), c) for c in ("macd_signal", "macd_hist")])
+
+
 @query()
-def macd_signal_dx(spark, d):
+def directional_index(spark, d):
     x = recursive_indicators(bars(spark, d))
-    return x.select("ticker", day("date"), *[num(F.when(~F.isnan(c), F.col(c)), c) for c in ("macd_signal", "macd_hist", "dx")])
+    return x.select("ticker", day("date"), num(F.when(~F.isnan("dx"), F.col("dx")), "dx"))
 
 
 @query()

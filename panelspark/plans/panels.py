@@ -87,7 +87,7 @@ def chunked_list(spark, d):
     return sel.numbered_chunks(table(spark, d, "nation", "n_name"), "n_name", 7)
 
 
-@query(chain(BARS, CAL, WEEKLY, WEIGHTS) + f", r AS (SELECT week, w, row_number() OVER (PARTITION BY week ORDER BY w DESC) AS k FROM trade) SELECT week, {sql_num('sum(w)', 'top3')} FROM r WHERE k <= 3 GROUP BY week")
+@query(chain(BARS, CAL, WEEKLY, WEIGHTS) + f", r AS (SELECT week, w, row_number() OVER (PARTITION BY week ORDER BY w DESC) AS k FROM trade WHERE w IS NOT NULL) SELECT week, {sql_num('sum(w)', 'top3')} FROM r WHERE k <= 3 GROUP BY week")
 def top_weights(spark, d):
     x = weights(spark, d).where("w[0] IS NOT NULL").withColumn("t", sel.top_by_size("w", 3))
     return x.select("week", num(F.aggregate("t", F.lit(0.0), lambda a, v: a + v), "top3"))
@@ -165,7 +165,14 @@ def tier2_panel(spark, d):
     return x.select("week", "ticker", *[num(f"{r}_signal", f"{r}_signal", 3) for r in ("business", "risk", "skeptic", "judge")])
 
 
-@query()
+def _tone(words) -> str:
+    return " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}" for w in words)
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t, text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) = '' AS blank FROM documents), c AS (SELECT doc_id, blank, CAST(coalesce({_tone(pl.UP)}, 0) AS BIGINT) AS u, CAST(coalesce({_tone(pl.DOWN)}, 0) AS BIGINT) AS n FROM d),
+v AS (SELECT *, CASE WHEN u + n > 0 THEN 10 * (u - n) / (u + n)::DOUBLE ELSE 0 END AS s FROM c)
+SELECT doc_id, {sql_num('CASE WHEN blank THEN 0 ELSE least(10, round_even(s + 1, 3)) END', 'bull_signal', 3)}, {sql_num('CASE WHEN blank THEN 0 ELSE greatest(-10, round_even(s - 1, 3)) END', 'bear_signal', 3)},
+CASE WHEN blank THEN 'NO_MEANINGFUL_NEWS' ELSE u || ' up, ' || n || ' down' END AS bull_rationale, CASE WHEN blank THEN 'NO_MEANINGFUL_NEWS' ELSE u || ' up, ' || n || ' down' END AS bear_rationale FROM v""")
 def bull_bear(spark, d):
     t = table(spark, d, "documents", "doc_id", "text")
     x = pl.two_sided(t, ["doc_id"], "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.plans.base import num
+from panelspark.plans.base import num, sql_num
 from panelspark.sources.tables import table
 from panelspark.streaming import events as ev
 
@@ -38,16 +38,18 @@ def stream_first_of_key(spark, d):
     return ev.drain(ev.first_of_key(stream(spark, d).select("user_id", "ts"), ts="ts", keys=["user_id"], late="400 days"), "first").select("user_id").distinct()
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
     x = ev.session_counts(table(spark, d, "events", "user_id", "ts"), ts="ts", key="user_id", gap="6 hours")
     return x.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 
-@query()
+@query(f"""WITH z AS (SELECT event_type, event_id, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-12) AS z FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 25 PRECEDING AND CURRENT ROW))
+SELECT event_type, event_id, {sql_num('CASE WHEN abs(z) < 1e-7 THEN 0 ELSE z END', 'z')} FROM z""")
 def stream_running_zscore(spark, d):
     x = ev.drain(ev.running_zscore(stream(spark, d).select("event_type", "event_id", "value"), key="event_type", order="event_id", value="value"), "zscore")
-    return x.select("event_type", "event_id", num("z", "z"))
+    return x.select("event_type", "event_id", num(F.when(F.abs("z") < 1e-7, 0.0).otherwise(F.col("z")), "z"))
 
 
 def queries() -> dict:
