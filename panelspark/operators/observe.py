@@ -47,7 +47,7 @@ def numeric_check(df: DataFrame, columns: list[str]) -> DataFrame:
 def synthetic_panel(spark: SparkSession, *, periods: int, entities: list[str], technical: list[str], seed: int = 0) -> DataFrame:
     """(day_idx, ticker, close, columns...): random walks; the same seed gives the same
     panel on any cluster, because every number is a hash of its place."""
-    grid = spark.range(periods).crossJoin(spark.createDataFrame([(e,) for e in entities], "ticker string"))
+    grid = spark.range(periods).withColumn("ticker", F.explode(F.array(*[F.lit(e) for e in entities])))
     u = lambda tag: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "id", "ticker"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     normal = lambda tag: F.sqrt(-2 * F.log(u(tag + "a"))) * F.cos(2 * 3.141592653589793 * u(tag + "b"))
     w = Window.partitionBy("ticker").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,9 +120,9 @@ def key_intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def heatmap(df: DataFrame, weights: str, share: float = 0.99) -> DataFrame:
     """(row columns..., position, weight, shade): weights cut at a percentile of all
-    positive ones, which is one row joined back."""
+    positive ones, a scalar subquery."""
     long = df.select(*[c for c in df.columns if c != weights], F.posexplode(weights).alias("position", "weight"))
-    cap = long.where("weight > 0").agg(F.percentile("weight", F.lit(share)).alias("_cap"))
-    return long.crossJoin(F.broadcast(cap)).withColumn("shade", F.least("weight", "_cap")).drop("_cap")
+    cap = long.where("weight > 0").agg(F.percentile("weight", F.lit(share))).scalar()
+    return long.withColumn("shade", F.least(F.col("weight"), cap))
 
 

@@ -17,9 +17,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def base_panel(weeks: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every week for every entity. The weeks are a calendar, so that side is small by
-    nature; the entities stay distributed."""
-    return entities.distinct().crossJoin(F.broadcast(weeks.distinct()))
+    """Every week for every entity. The weeks are a calendar, small by nature: they are one
+    array, which each entity unfolds where it is."""
+    calendar = weeks.agg(F.collect_set(F.struct(*weeks.columns))).scalar()
+    return entities.distinct().withColumn("_weeks", calendar).select(*entities.columns, F.inline("_weeks"))
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -41,10 +42,10 @@ def coverage(df: DataFrame, *, period: str, entity: str, universe: DataFrame) ->
     """Per period the number of universe members present, those missing, and
     whether all are there. universe: one column, a list of fixed size (broadcast)."""
     u = universe.select(F.col(universe.columns[0]).alias(entity)).distinct()
-    # the universe is one array on one row: its size is the caller's list
-    allof = u.agg(F.array_sort(F.collect_set(entity)).alias("_all"))
+    # the universe is one array, a scalar subquery: its size is the caller's list
+    everyone = u.agg(F.array_sort(F.collect_set(entity))).scalar()
     got = df.join(F.broadcast(u), entity, "left_semi").groupBy(period).agg(F.collect_set(entity).alias("_have"))
-    got = df.select(period).distinct().join(got, period, "left").crossJoin(F.broadcast(allof))
+    got = df.select(period).distinct().join(got, period, "left").withColumn("_all", everyone)
     missing = F.array_except("_all", F.coalesce("_have", F.array().cast("array<string>")))
     return got.select(period, (F.size("_all") - F.size(missing)).alias("n_present"), F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("complete"))
 

@@ -188,18 +188,17 @@ def liquidity(df: DataFrame, *, entity: str, close: str, volume: str) -> DataFra
 
 
 def liquid_enough(df: DataFrame, value: str = "capital", share: float = 0.2) -> DataFrame:
-    """Rows at or above the ``share`` percentile. The threshold is one row, joined back."""
-    cut = df.agg(F.percentile(value, F.lit(share)).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")
+    """Rows at or above the ``share`` percentile, a scalar subquery."""
+    cut = df.agg(F.percentile(value, F.lit(share))).scalar()
+    return df.where(F.col(value) >= cut)
 
 
 def sector_allocation(df: DataFrame, *, entity: str, sector: str, capital: str, size: int) -> DataFrame:
     """``size`` entities, seats by sector in proportion to its members (largest remainder,
     ties by sector name), filled by capital. Seats are counted on one row per sector."""
-    total = df.agg(F.count("*").alias("_all"))
-    seats = df.groupBy(sector).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total))
-    seats = seats.withColumn("_ideal", F.col("_n") * size / F.col("_all")).withColumn("_floor", F.floor("_ideal"))
     whole = Window.partitionBy(F.lit(1))
+    seats = df.groupBy(sector).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(whole))
+    seats = seats.withColumn("_ideal", F.col("_n") * size / F.col("_all")).withColumn("_floor", F.floor("_ideal"))
     seats = seats.withColumn("_left", size - F.sum("_floor").over(whole)).withColumn("_r", F.row_number().over(whole.orderBy(F.desc(F.col("_ideal") - F.col("_floor")), sector)))
     seats = seats.select(sector, (F.col("_floor") + (F.col("_r") <= F.col("_left")).cast("int")).alias("seats"))
     w = Window.partitionBy(sector).orderBy(F.desc(capital), entity)

@@ -169,10 +169,10 @@ STEP_SCHEMA = "run_id string, step int, day_idx int, intent_weights array<double
 def panel_arrays(df: DataFrame, *, period: str, entity: str, price: str, risk: str | None = None, exposure: str | None = None) -> DataFrame:
     """(period, prices, turbulence, exposure) for periods in which every entity of the frame
     has a price; arrays run in order of the entity's name."""
-    n = df.agg(F.count_distinct(entity).alias("_n"))
+    n = df.agg(F.count_distinct(entity)).scalar()
     item = F.struct(F.col(entity).alias("e"), F.col(price).cast("double").alias("p"), (F.coalesce(F.col(exposure).cast("double"), F.lit(0.0)) if exposure else F.lit(0.0)).alias("x"))
     g = df.where(F.col(price).isNotNull()).groupBy(period).agg(F.array_sort(F.collect_set(item)).alias("a"), F.count_distinct(entity).alias("_k"), (F.max(risk) if risk else F.lit(0.0)).cast("double").alias("turbulence"))
-    g = g.crossJoin(F.broadcast(n)).where("_k = _n")
+    g = g.where(F.col("_k") == n)
     return g.select(period, F.transform("a", lambda i: i["p"]).alias("prices"), F.coalesce("turbulence", F.lit(0.0)).alias("turbulence"), F.transform("a", lambda i: i["x"]).alias("exposure"))
 
 
@@ -180,13 +180,14 @@ def simulate(panel: DataFrame, runs: DataFrame, *, period: str, rules: Rules = R
     """The steps of every run.
 
     runs: run_id, policy, seed and any of the Rules' fields as columns (as numbers or text).
-    A run that fails gives no steps. The panel of a universe is broadcast-free: it is paired
-    with the runs, so each run's task holds weeks x assets numbers.
+    The panel of a universe is one array, weeks x assets numbers, which each run unfolds.
     """
     ship_package(panel.sparkSession)
     base = asdict(rules)
     extra = [c for c in runs.columns if c in base and c not in ("weights", "scales")]
-    pairs = runs.select(F.col("run_id").cast("string").alias("run_id"), "policy", F.col("seed").cast("int").alias("seed"), *extra).crossJoin(panel.select(F.col(period).alias("period"), "prices", "turbulence", "exposure"))
+    pairs = runs.select(F.col("run_id").cast("string").alias("run_id"), "policy", F.col("seed").cast("int").alias("seed"), *extra)
+    weeks = panel.agg(F.collect_list(F.struct(F.col(period).alias("period"), "prices", "turbulence", "exposure"))).scalar()
+    pairs = pairs.withColumn("_weeks", weeks).select(*pairs.columns, F.inline("_weeks"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("period")

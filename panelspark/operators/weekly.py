@@ -54,6 +54,6 @@ def friday_counts(events: DataFrame, *, day: str, key: str) -> DataFrame:
     """Counts per key and week ending on Friday, zeros for the weeks between."""
     binned = events.where(F.col(day).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.next_day(F.date_sub(F.col(day), 1), "FR").alias("week"))
     counts = binned.groupBy("k", "week").agg(F.count("*").alias("n"))
-    span = counts.agg(F.min("week").alias("a"), F.max("week").alias("b")).where("a IS NOT NULL")
-    grid = counts.select("k").distinct().crossJoin(F.broadcast(span)).select("k", F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("week"))
+    span = counts.agg(F.sequence(F.min("week"), F.max("week"), F.expr("INTERVAL 7 DAYS"))).scalar()
+    grid = counts.select("k").distinct().withColumn("weeks", span).select("k", F.explode("weeks").alias("week"))
     return grid.join(counts, ["k", "week"], "left").select(F.col("k").alias(key), "week", F.coalesce("n", F.lit(0)).alias("n"))

@@ -139,8 +139,9 @@ tw AS (SELECT week, year, sum(dw) / 2 AS turnover, sum(w * w) AS hhi, max(w) AS
 
 def weights(spark, d):
     w = weekly(spark, d).select("week", "ticker", (F.coalesce("close", F.lit(0.0)) * F.coalesce("volume", F.lit(0.0))).alias("c"))
-    names = w.select("ticker").distinct()
-    grid = names.crossJoin(F.broadcast(w.select("week").distinct()))  # weeks of a calendar
+    # every week for every ticker: the weeks of a calendar are one array
+    weeks = w.agg(F.collect_set("week")).scalar()
+    grid = w.select("ticker").distinct().withColumn("weeks", weeks).select("ticker", F.explode("weeks").alias("week"))
     full = grid.join(w, ["week", "ticker"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     g = full.groupBy("week").agg(F.array_sort(F.collect_list(F.struct("ticker", "c"))).alias("a"), F.sum("c").alias("s"))
     x = g.select("week", F.substring("week", 1, 4).alias("year"), F.transform("a", lambda i: i["c"] / F.nullif(F.col("s"), F.lit(0.0))).alias("w"))
