@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import timeshape
+from panelspark.plans.times import SEC_SQL, times_sql
 from panelspark.sources.tables import sec_times, table, ticker_key
 
 
@@ -81,4 +82,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""WITH {SEC_SQL}, {times_sql("sec_raw")},
+times AS (SELECT DISTINCT rec_key, raw, s FROM known WHERE s IS NOT NULL),
+f AS (SELECT DISTINCT nullif(upper(trim(x.ticker)), '') AS k, x.doc_id, t.s FROM sec x JOIN times t ON x.doc_id = t.rec_key AND x.filed_at_utc = t.raw),
+c AS (SELECT DISTINCT nullif(upper(trim(ticker)), '') AS k, doc_id, CAST(floor(epoch_us(event_ts_utc) / 1000000) AS BIGINT) AS s FROM ec WHERE event_ts_utc IS NOT NULL),
+fc AS (SELECT f.doc_id AS a, f.s AS fs, c.doc_id AS b, abs(f.s - c.s) AS d, min(abs(f.s - c.s)) OVER (PARTITION BY f.doc_id, f.s, f.k) AS m FROM f JOIN c ON f.k = c.k),
+w AS (SELECT DISTINCT curr_close_utc AS id, CAST(epoch(CAST(curr_close_utc AS TIMESTAMPTZ)) AS BIGINT) AS s FROM calendar),
+cw AS (SELECT c.doc_id AS a, w.id AS b, abs(c.s - w.s) AS d, min(abs(c.s - w.s)) OVER (PARTITION BY c.doc_id, c.s) AS m FROM c JOIN w ON w.s BETWEEN c.s - 172800 AND c.s + 172800)
+SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM (SELECT a, b FROM fc WHERE d = m AND d <= 259200 UNION ALL SELECT a, b FROM cw WHERE d = m)"""
+    }

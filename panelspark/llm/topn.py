@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.plans.times import NEWS_SQL, times_sql
 from panelspark.session import scratch_path, ship_package
 from panelspark.sources.tables import news_times, ticker_key
 
@@ -114,4 +115,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"""WITH {NEWS_SQL}, {times_sql("news_raw")},
+times AS (SELECT DISTINCT rec_key, raw, s FROM known WHERE s IS NOT NULL),
+rows AS (SELECT nullif(upper(trim(n.ticker)), '') AS ticker, n.doc_id, CASE n.source_tier WHEN 'A' THEN 3 WHEN 'B' THEN 2 WHEN 'C' THEN 1 ELSE 0 END AS t, k.s FROM news n JOIN times k ON n.doc_id = k.rec_key AND n.published_at_utc = k.raw),
+days AS (SELECT ticker, strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS cal_day, doc_id, max(t * 1099511627776 + s) AS score FROM rows WHERE ticker IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, cal_day ORDER BY score DESC, doc_id) AS r FROM days)
+SELECT ticker, cal_day, CAST(r AS INTEGER) AS rank_no, doc_id FROM ranked WHERE r <= 3"""
+    }
