@@ -127,5 +127,43 @@ def queries() -> dict:
     return {"p5_found": p5_found, "p5_turns": p5_turns}
 
 
+def turns_sql() -> str:
+    """The same turns by plain SQL over ``ec``, with its own, simpler label expressions."""
+    w = r"\p{Lu}[\p{L}'’-]*"
+    clock = r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?"
+    tm = rf"[\[(]?{clock}[\])]?(?: --> {clock})?"
+    forms = [
+        ("body", r"^<v ([^>]+)>(.*)$"),
+        ("body", r"^\*\*([^*]+):\*\*(.*)$"),
+        ("body", r"^\[(Operator)\]:(.*)$"),
+        ("body", rf"^Speaker: ((?:{w}|de)(?:\s+(?:{w}|de))+) ?-? ?(.*)$"),
+        ("c", r"^([^:]{3,50}?) -- [^:]+ -- [^:]+()$"),
+        ("c", r"^((?:The |Conference )?(?i:operator)|(?i:unidentified) \w+)\s*[:：](.*)$"),
+        ("c", rf"^((?:(?:Mr|Ms|Mrs|Dr)\.\s+|\p{{Lu}}\.\s+)(?:de )?{w}|(?:de )?{w}, {w}|{w}\s+(?:(?i:de) )?{w})(?: \([^)]+\)| [-–] [^:]+|, (?:Analyst|Chief|Head)[^:]*)?\s*[:：](.*)$"),
+    ]
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    pick = lambda g: "CASE " + " ".join(f"WHEN regexp_matches({c}, {q(f)}) THEN regexp_extract({c}, {q(f)}, {g})" for c, f in forms) + " END"
+    noise = [tm, r"<inaudible>|\((?:laughter|coughs)\)|\[(?:crosstalk|Technical difficulty|music|applause)\]|♪ ♪|\*background noise\*", r"(?i)\b(?:um|uh|uhm|er|hmm)\b"]
+    body = "words"
+    for n in noise:
+        body = f"regexp_replace({body}, {q(n)}, '', 'g')"
+    return f"""WITH d AS (SELECT doc_id, string_split(replace(max(text), chr(13), ''), chr(10)) AS x FROM ec WHERE text IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS no, unnest(x) AS line FROM d),
+b AS (SELECT *, trim(regexp_replace(line, {q(rf'^\s*(?:{tm}\s*)+')}, '')) AS body FROM l),
+c AS (SELECT *, regexp_replace(body, '^(?:>> ?|[QA] - )', '') AS c FROM b),
+n AS (SELECT doc_id, no, line, {pick(1)} AS name, {pick(2)} AS rest FROM c),
+m AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS n0, sum(CASE WHEN name IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no) AS k FROM n),
+s AS (SELECT *, CASE WHEN n0 LIKE '%operator' THEN 'operator' ELSE regexp_replace(n0, '^(.+), (.+)$', '\\2 \\1') END AS said FROM m),
+fulls AS (SELECT doc_id, said AS f FROM s WHERE said LIKE '% %' AND NOT regexp_matches(said, '^(?:mr|ms|mrs|dr|\\p{{L}})\\. ') AND said NOT LIKE 'unidentified%'
+  UNION SELECT doc_id, lower(regexp_extract(line, {q(rf'^({w} (?:de )?{w})(?: \(|, | - )')}, 1)) FROM s WHERE k = 0 AND no > 2 AND regexp_matches(line, {q(rf'^{w} (?:de )?{w}(?: \(|, | - )')})),
+short AS (SELECT doc_id, no, regexp_extract(said, '^(mr|ms|mrs|dr|\\p{{L}})\\. (.+)$', 1) AS t, regexp_extract(said, '^(mr|ms|mrs|dr|\\p{{L}})\\. (.+)$', 2) AS fam FROM s WHERE regexp_matches(said, '^(?:mr|ms|mrs|dr|\\p{{L}})\\. ')),
+found AS (SELECT h.doc_id, h.no, coalesce(min(f.f), any_value(h.fam)) AS who FROM short h LEFT JOIN fulls f ON f.doc_id = h.doc_id AND f.f[instr(f.f, ' ') + 1:] = h.fam AND (length(h.t) > 1 OR f.f[1:1] = h.t) GROUP BY h.doc_id, h.no),
+w AS (SELECT s.doc_id, s.no, s.k, CASE WHEN s.name IS NOT NULL THEN coalesce(g.who, s.said) END AS who, CASE WHEN s.name IS NULL THEN s.line ELSE s.rest END AS words FROM s LEFT JOIN found g ON g.doc_id = s.doc_id AND g.no = s.no WHERE s.k > 0),
+st AS (SELECT doc_id, k, max(who) AS who, bool_or(regexp_matches({body}, '[\\p{{L}}\\p{{N}}]')) AS spoken FROM w GROUP BY doc_id, k),
+i AS (SELECT doc_id, k, who, CASE WHEN lag(who) OVER (PARTITION BY doc_id ORDER BY k) = who THEN 0 ELSE 1 END AS new FROM st WHERE spoken),
+t AS (SELECT doc_id, k, who, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS turn FROM i)
+SELECT doc_id, CAST(turn AS INTEGER) AS turn_no, any_value(who) AS speaker FROM t GROUP BY doc_id, turn"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": turns_sql()}
