@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,23 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", by: list[st
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The stored result of ``build``; built and written when missing or forced."""
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
     """Writes the rows whose keys the output lacks; the number written. A first call
     makes the output. Call it again after a failure: what is there stays as it is."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    todo = resume_keys(df, spark.read.parquet(path), keys) if there else df
+    todo = resume_keys(df, spark.read.parquet(path), keys) if exists(spark, path) else df
     todo = todo.dropDuplicates(keys).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else todo.dropDuplicates(keys).persist()
     n = todo.count()
     if n:

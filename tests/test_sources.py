@@ -90,3 +90,16 @@ def test_streams(spark, tmp_path):
     assert z.count() == 200
     one = ev.read_events(spark, next(str(p) for p in (tmp_path / "e").glob("part*")), e.schema)
     assert 0 < ev.drain(one.select("id"), "one").count() < 200
+
+
+def test_cache_and_settings(spark, tmp_path, monkeypatch):
+    from panelspark.config import env_bool, env_int
+
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    assert files.cached(spark, f"{tmp_path}/c", build).count() == 3 and files.cached(spark, f"{tmp_path}/c", build).count() == 3 and len(made) == 1
+    files.cached(spark, f"{tmp_path}/c", build, force=True)
+    assert len(made) == 2
+    monkeypatch.setenv("PS_A", " Yes ")
+    monkeypatch.setenv("PS_B", "12x")
+    assert env_bool("PS_A") and env_bool("PS_NONE", True) and not env_bool("PS_NONE") and env_int("PS_B", 7) == 7
