@@ -245,12 +245,12 @@ def normalise(
     d = d.withColumn("_y4", F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")))
     swap = F.col("_p.slash") & F.col("_dayfirst")
     kind = F.col("_p.kind")
-    civil_date = F.expr("try_make_timestamp(_y4, _m4, _d4, 0, 0, 0)")
+    civil_date = F.expr("try_make_timestamp_ntz(_y4, _m4, _d4, 0, 0, 0)")
     d = d.withColumn("_m4", F.when(F.col("_p.mon").isNotNull(), F.col("_mon")).when(swap, F.col("_d")).otherwise(F.col("_mo")))
     d = d.withColumn("_d4", F.when(swap, F.col("_mo")).otherwise(F.col("_d")))
     plain = F.when(kind == "civil", F.to_date(civil_date))
-    ordinal = F.when((kind == "ordinal") & F.col("_d").between(1, 366), F.date_add(F.expr("try_make_timestamp(_y4, 1, 1, 0, 0, 0)").cast("date"), F.col("_d") - 1))
-    jan4 = F.expr("try_make_timestamp(_y4, 1, 4, 0, 0, 0)").cast("date")
+    ordinal = F.when((kind == "ordinal") & F.col("_d").between(1, 366), F.date_add(F.expr("try_make_timestamp_ntz(_y4, 1, 1, 0, 0, 0)").cast("date"), F.col("_d") - 1))
+    jan4 = F.expr("try_make_timestamp_ntz(_y4, 1, 4, 0, 0, 0)").cast("date")
     week = F.when((kind == "week") & F.col("_mo").between(1, 53) & F.col("_d").between(1, 7), F.date_add(jan4, F.col("_mo") * 7 - 7 + F.col("_d") - 1 - F.weekday(jan4)))
     d = d.withColumn("_date", F.coalesce(plain, ordinal, week))
     d = d.withColumn("_date", F.when(F.year("_date").between(1900, 2199) & (F.year("_date") == F.col("_y4")) | (kind == "week"), F.col("_date")))
@@ -279,7 +279,7 @@ def normalise(
         said = kind.startswith("epoch") | F.col("_p.sign").isNotNull() | F.col("_p.zone").isNotNull()
         d = d.withColumn("_instant", F.when(said, F.col(out)))
         d = civil_from_epoch(d, "_instant", date_zone, "_zoned")
-        d = d.withColumn(local_date, F.when(said, F.to_date(F.timestamp_seconds("_zoned"))).when(F.col("_secs").isNotNull(), F.col("_date")))
+        d = d.withColumn(local_date, F.when(said, F.date_from_unix_date(F.floor(F.col("_zoned") / 86400).cast("int"))).when(F.col("_secs").isNotNull(), F.col("_date")))
     return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep if c not in made], *made)
 
 
@@ -298,7 +298,7 @@ def civil_from_epoch(df: DataFrame, column: str, zone: str, out: str) -> DataFra
         b = int(dt.datetime(year + 1, 1, 1, tzinfo=dt.timezone.utc).timestamp())
         by_year[year] = [c for c in changes if c[0] <= a][-1:] + [c for c in changes if a < c[0] < b]
     t = df.sparkSession.createDataFrame([(y, s) for y, s in by_year.items()], T.StructType([T.StructField("cz_year", T.IntegerType()), T.StructField("cz_segments", ZONE_ROW["tz_segments"].dataType)]))
-    year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(F.timestamp_seconds(column))))
+    year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(F.date_from_unix_date(F.floor(F.col(column) / 86400).cast("int")))))
     d = df.withColumn("_cz", year).join(F.broadcast(t), F.col("_cz") == F.col("cz_year"), "left")
     off = F.expr(f"try_element_at(filter(cz_segments, x -> x.since <= `{column}`), -1).offset")
     return d.withColumn(out, F.col(column) + off).drop("_cz", "cz_year", "cz_segments")

@@ -94,3 +94,13 @@ def test_utc_text(spark, epoch):
 
     want = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=epoch)).strftime("%Y-%m-%dT%H:%M:%SZ")
     assert spark.range(1).select(ts.utc_text(F.lit(epoch).cast("long")).alias("x")).first().x == want
+
+
+def test_the_sessions_zone_does_not_matter(spark):
+    values = [c for c, _ in CASES] + ["2020-07-01", "2020-183", "2020-W27-3"]
+    want = run(spark, values)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert run(spark, values) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
