@@ -41,6 +41,10 @@ FORMS = (
     (rf"{_LEAD}({_PARTICLE}?{_TOKEN},\s*{_TOKEN}(?: +{_TOKEN})?){_END}\s*(.*)$", 1, 2),
     (rf"{_LEAD}({_NAME})(?:\s*\([^)]{{1,80}}\)|\s+[-–—]\s[^:：]{{2,60}}|,\s[^:：]{{2,60}})?{_END}\s*(.*)$", 1, 2),
 )
+#: What any label begins with; most lines of speech fail it at their second word.
+_GATE = rf"^(?:[<*\[>]|[QA]\s*[-–—]|{_PARTICLE}?{_TOKEN}(?:,?\s+{_PARTICLE}?\p{{Lu}}|\s*[:：(]))"
+#: A word of speech before any mark: the line then surely says something.
+_PLAIN = rf"(?i)^[^\[(<*♪\d:：]*?(?<![\p{{L}}'’-])(?!(?:{'|'.join(HESITATIONS)})(?!\p{{L}}))\p{{L}}{{2,}}"
 _ROLE_LINE = rf"^({_NAME})\s*(?:\([^)]{{3,60}}\)|\s[-–—]\s[^:：]{{3,60}}|,\s[^:：]{{3,60}})$"
 _CALLED = rf"(?:line of|comes from|follow-up from|question from|turn (?:the call |it )?over to) ({_NAME}?\p{{L}})\."
 _TITLE = r"^(?:mr|ms|mrs|miss|mx|dr|prof|sir|dame)\.? +"
@@ -82,7 +86,7 @@ def speaker_turns(df: DataFrame, *, doc: str, text: str) -> DataFrame:
     body = F.trim(F.regexp_replace(F.col("line"), rf"^\s*(?:{TIME}\s*)+", ""))
     lines = lines.withColumn("body", body)
     # plain speech is by far the most frequent: one cheap test spares it the label forms
-    maybe = F.col("body").rlike(r"^.{0,150}?[:：>]|\*\*|^\s*\S+.* -- |^Speaker:")
+    maybe = F.col("body").rlike(_GATE)
     part = lambda p, g: F.regexp_extract("body", p, g) if g else F.lit("")
     label = F.coalesce(*[F.when(F.col("body").rlike(p), F.struct(part(p, g).alias("name"), part(p, s).alias("rest"))) for p, g, s in FORMS])
     lines = lines.withColumn("label", F.when(maybe, label)).withColumn("said", _said_name(F.col("label.name")))
@@ -96,23 +100,25 @@ def speaker_turns(df: DataFrame, *, doc: str, text: str) -> DataFrame:
     named = F.col("core").contains(" ") | titled
     lines = lines.withColumn("is_label", F.coalesce(operator | anonymous | named, F.lit(False)))
     full = F.when(F.col("is_label") & ~operator & ~anonymous & ~short, F.col("core"))
-    listed = F.when(F.col("label").isNull() & F.col("body").rlike(_ROLE_LINE), _said_name(F.regexp_extract("body", _ROLE_LINE, 1)))
+    listed = F.when(F.col("label").isNull() & maybe & F.col("body").rlike(_ROLE_LINE), _said_name(F.regexp_extract("body", _ROLE_LINE, 1)))
     called = F.when(operator, _said_name(F.regexp_extract("label.rest", _CALLED, 1)))
     lines = lines.withColumn("full", F.nullif(F.coalesce(listed, full, called), F.lit("")))
     lines = lines.withColumn("full", F.when(F.col("full").contains(" ") & ~F.col("full").rlike(_TITLE) & ~F.col("full").rlike(r"^\p{L}\.? "), F.col("full")))
+    lines = lines.withColumn("words", F.when(F.col("is_label"), F.coalesce(F.col("label.rest"), F.lit(""))).otherwise(F.col("line")))
+    says = F.col("words").rlike(_PLAIN) | clean_speech(F.col("words")).rlike(r"[\p{L}\p{N}]")
+    lines = lines.withColumn("says", says).drop("line", "body", "label")
     whole = Window.partitionBy("doc_id")
     order = whole.orderBy("line_no")
     lines = lines.withColumn("names", F.array_sort(F.collect_set("full").over(whole)))
     fits = F.expr("filter(names, n -> endswith(n, concat(' ', family)) AND (initial = '' OR startswith(n, initial)))")
     exact = F.expr("filter(names, n -> regexp_replace(n, '^\\\\S+ (?:\\\\p{L}\\\\.? )*', '') = family AND (initial = '' OR startswith(n, initial)))")
     speaker = F.when(operator | anonymous, F.col("said")).when(short, F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(fits, F.lit(1)), F.col("core"))).otherwise(F.col("core"))
-    lines = lines.withColumn("speaker", F.when(F.col("is_label"), speaker)).withColumn("words", F.when(F.col("is_label"), F.coalesce(F.col("label.rest"), F.lit(""))).otherwise(F.col("line")))
-    lines = lines.select("doc_id", "line_no", "speaker", clean_speech(F.col("words")).alias("words"), F.col("is_label"))
+    lines = lines.withColumn("speaker", F.when(F.col("is_label"), speaker)).select("doc_id", "line_no", "speaker", "words", "says", "is_label")
     lines = lines.withColumn("stretch", F.sum(F.col("is_label").cast("int")).over(order)).withColumn("who", F.last("speaker", ignorenulls=True).over(order))
-    spoken = lines.where((F.col("stretch") > 0) & F.col("words").rlike(r"[\p{L}\p{N}]"))
+    spoken = lines.where((F.col("stretch") > 0) & F.col("says"))
     spoken = spoken.withColumn("new", F.coalesce((F.lag("who").over(order) != F.col("who")).cast("int"), F.lit(1)))
     spoken = spoken.withColumn("turn_no", F.sum("new").over(order).cast("int"))
-    return spoken.groupBy("doc_id", "turn_no").agg(F.first("who").alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "words"))), lambda x: x["words"]), " ").alias("speech"))
+    return spoken.groupBy("doc_id", "turn_no").agg(F.first("who").alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", clean_speech(F.col("words")).alias("words")))), lambda x: x["words"]), " ").alias("speech"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
