@@ -108,7 +108,7 @@ def score_runs(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def nav_check(steps: DataFrame, perf: DataFrame, *, episode: str, log_return: str, tolerance: float = 1e-6) -> DataFrame:
-    """Difference between an episode's multiple and the one its steps imply."""
+    """Relative difference between an episode's multiple and the one its steps imply."""
     s = steps.groupBy(episode).agg(F.exp(F.sum(F.coalesce(F.col(log_return), F.lit(0.0)))).alias("steps_multiple"))
-    d = perf.join(s, episode).withColumn("nav_gap", F.abs(F.col("nav_multiple") - F.col("steps_multiple")))
+    d = perf.join(s, episode).withColumn("nav_gap", F.abs(F.col("nav_multiple") - F.col("steps_multiple")) / F.greatest(F.abs("steps_multiple"), F.lit(1e-12)))
     return d.withColumn("consistent", F.col("nav_gap") <= tolerance)

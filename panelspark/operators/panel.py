@@ -40,11 +40,11 @@ def attach(panel: DataFrame, facts: DataFrame, on: list[str], defaults: dict[str
 
 def coverage(df: DataFrame, *, period: str, entity: str, universe: DataFrame) -> DataFrame:
     """Per period the number of universe members present, those missing, and
-    whether all are there. universe: one column, a list of fixed size (broadcast)."""
+    whether all are there. universe: one column, a list the caller keeps small."""
     u = universe.select(F.col(universe.columns[0]).alias(entity)).distinct()
     # the universe is one array, a scalar subquery: its size is the caller's list
     everyone = u.agg(F.array_sort(F.collect_set(entity))).scalar()
-    got = df.join(F.broadcast(u), entity, "left_semi").groupBy(period).agg(F.collect_set(entity).alias("_have"))
+    got = df.join(u, entity, "left_semi").groupBy(period).agg(F.collect_set(entity).alias("_have"))
     got = df.select(period).distinct().join(got, period, "left").withColumn("_all", everyone)
     missing = F.array_except("_all", F.coalesce("_have", F.array().cast("array<string>")))
     return got.select(period, (F.size("_all") - F.size(missing)).alias("n_present"), F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("complete"))

@@ -212,26 +212,43 @@ def sweep(spark, d):
     return sim.simulate(weekly_panel(spark, d), grid, period="week", rules=sim.Rules(beta=0.1, gamma=0.05))
 
 
-@query()
+# The fold over weeks as a recursion: cash and shares of the assets in order of name.
+_ROLLOUT = f"""WITH RECURSIVE x AS (SELECT date_trunc('week', l_shipdate) AS week, p_type AS asset, avg(CAST(l_extendedprice / l_quantity AS DOUBLE)) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+k AS (SELECT CAST(count(DISTINCT asset) AS BIGINT) AS n FROM x),
+g AS (SELECT CAST(row_number() OVER (ORDER BY week) AS BIGINT) AS t, list(price ORDER BY asset) AS p FROM x GROUP BY week HAVING count(*) = (SELECT n FROM k)),
+r AS (SELECT CAST(1 AS BIGINT) AS t, 1e6::DOUBLE AS cash, list_transform(range((SELECT n FROM k)), lambda i: 0.0::DOUBLE) AS sh, 1e6::DOUBLE AS nav, 0.0::DOUBLE AS lr, 0.0::DOUBLE AS cost
+ UNION ALL SELECT t + 1, cash1 - list_sum(want) * sc * 1.0005::DOUBLE, sh2, nav2, ln(nav2 / nav), gross * 0.0005::DOUBLE + list_sum(want) * sc * 0.0005::DOUBLE FROM (
+ SELECT *, cash1 - list_sum(want) * sc * 1.0005::DOUBLE + list_dot_product(sh2, p1) AS nav2 FROM (
+ SELECT *, list_transform(range(1, len(p0) + 1), lambda i: (hold1[i] + want[i] * sc) / p0[i]) AS sh2 FROM (
+ SELECT *, CASE WHEN list_sum(want) > 0 THEN least(1, greatest(0, cash1 - v1 / (len(p0) + 1)) / (list_sum(want) * 1.0005::DOUBLE)) ELSE 0 END AS sc FROM (
+ SELECT *, list_transform(hold1, lambda h: greatest(v1 / (len(p0) + 1) - h, 0)) AS want FROM (
+ SELECT *, cash1 + list_sum(hold1) AS v1 FROM (
+ SELECT *, cash + list_sum(ex) * 0.9995::DOUBLE AS cash1, list_sum(ex) AS gross, list_transform(range(1, len(p0) + 1), lambda i: hold[i] - ex[i]) AS hold1 FROM (
+ SELECT *, list_transform(hold, lambda h: greatest(h - v / (len(p0) + 1), 0)) AS ex FROM (
+ SELECT r.*, a.p AS p0, b.p AS p1, cash + list_dot_product(sh, a.p) AS v, list_transform(range(1, len(a.p) + 1), lambda i: sh[i] * a.p[i]) AS hold FROM r JOIN g a ON a.t = r.t JOIN g b ON b.t = r.t + 1)))))))))
+SELECT 'ew' AS run_id, CAST(t - 2 AS INTEGER) AS step, {sql_num('ln(nav / 1e6)', 'log_nav')}, {sql_num('lr', 'log_return')}, {sql_num('cost / nav', 'cost_share', 8)}, {sql_num('lr', 'reward')} FROM r WHERE t > 1"""
+
+
+@query(_ROLLOUT)
 def equal_weight_rollout(spark, d):
     runs = spark.createDataFrame([("ew", "equal_weight", 0)], "run_id string, policy string, seed int")
     s = sim.simulate(weekly_panel(spark, d), runs, period="week")
-    return s.select("run_id", "step", num("nav", "nav", 2), num("log_return", "log_return"), num("trade_cost", "trade_cost", 2), num("reward", "reward"))
+    return s.select("run_id", "step", num(F.log(F.col("nav") / 1e6), "log_nav"), num("log_return", "log_return"), num(F.col("trade_cost") / F.col("nav"), "cost_share", 8), num("reward", "reward"))
 
 
 @query()
 def sweep_ranked(spark, d):
     s = sweep(spark, d).withColumn("trades", F.size(F.filter("trade_shares", lambda x: x != 0)))
     p = mt.episode_totals(s, episode="run_id", order="step", log_return="log_return", trades="trades", cost="trade_cost")
-    r = mt.score_runs(p, {"nav_multiple": 1.0, "sharpe": 0.5, "max_drawdown": 1.0})
-    return r.select("run_id", "n_steps", num("nav_multiple", "nav_multiple"), num("sharpe", "sharpe"), num("max_drawdown", "max_drawdown"), "trade_count", num("score", "score"), "rank")
+    r = mt.score_runs(p, {"log_return": 1.0, "sharpe": 0.5, "max_drawdown": 1.0})
+    return r.select("run_id", "n_steps", num("log_return", "log_return"), num("sharpe", "sharpe"), num("max_drawdown", "max_drawdown"), "trade_count", num("score", "score"), "rank")
 
 
 @query()
 def run_nav_check(spark, d):
     s = cut_lineage(sweep(spark, d))
     p = s.groupBy("run_id").agg((F.max_by("nav", "step") / F.min_by("pre_value", "step")).alias("nav_multiple"))
-    return mt.nav_check(s, p, episode="run_id", log_return="log_return").select("run_id", num("nav_multiple", "nav_multiple"), "consistent")
+    return mt.nav_check(s, p, episode="run_id", log_return="log_return").select("run_id", num(F.log("nav_multiple"), "log_multiple"), "consistent")
 
 
 def queries() -> dict:

@@ -91,17 +91,42 @@ def _capped(spark, d):
     return sel.cap_select(scored_v1(spark, d), group=["week"], source="source", day="day", item="doc_id", order=["score", "rec", "ts", "tok_len"], per_source=5, per_day=4)
 
 
-@query()
+# The walk as a recursion: one step per article, the picked ones as a list.
+_WALK = """, o AS (SELECT week, coalesce(source, '') AS source, day, doc_id, score, row_number() OVER (PARTITION BY week ORDER BY score DESC, rec DESC, ts DESC, tok_len DESC, doc_id) AS rn FROM v1),
+w AS (SELECT week, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(source VARCHAR, day BIGINT, doc_id BIGINT, score DOUBLE)[]) AS p FROM (SELECT DISTINCT week FROM o)
+  UNION ALL SELECT w.week, o.rn, CASE WHEN len(list_filter(w.p, lambda x: x.source = o.source)) < 5 AND len(list_filter(w.p, lambda x: x.day = o.day)) < 4
+    THEN list_append(w.p, {'source': o.source, 'day': o.day, 'doc_id': o.doc_id, 'score': o.score}) ELSE w.p END FROM w JOIN o ON o.week = w.week AND o.rn = w.rn + 1),
+f AS (SELECT week, arg_max(p, rn) AS p FROM w GROUP BY week)"""
+_WALKED = "WITH RECURSIVE " + ",".join((ARTICLES, TIERS)) + _V1 + _WALK
+
+
+@query(_WALKED + f", u AS (SELECT week, CAST(unnest(range(1, len(p) + 1)) AS INTEGER) AS pos, unnest(p) AS x FROM f) SELECT week, pos, x.doc_id AS doc_id, {sql_num('x.score', 'score')} FROM u")
 def greedy_dual_cap(spark, d):
     return _capped(spark, d).select("week", F.posexplode("picked").alias("pos", "p")).select("week", (F.col("pos") + 1).alias("pos"), F.col("p.item").alias("doc_id"), num("p.score", "score"))
 
 
-@query()
+@query(_WALKED + f""", g AS (SELECT week, p, list_filter(p, lambda x: x.score >= 0.3) AS good, CAST(greatest(3, least(12, round_even(3 + 9 * (1 - exp(-len(p) / 10.0::DOUBLE)), 0))) AS BIGINT) AS n FROM f),
+k AS (SELECT week, CASE WHEN len(good) < 3 THEN p[1:3] ELSE good[1:n] END AS q FROM g), u AS (SELECT week, CAST(unnest(range(1, len(q) + 1)) AS INTEGER) AS rank, unnest(q) AS x FROM k) SELECT week, rank, x.doc_id AS doc_id, {sql_num('x.score', 'score')} FROM u""")
 def dynamic_topn(spark, d):
     return sel.dynamic_top(_capped(spark, d), group=["week"]).select("week", "rank", F.col("item").alias("doc_id"), num("score", "score"))
 
 
-@query()
+# Both phases of the budget as recursions over (chars used, articles, articles of the day, picks).
+_BUDGET = """, b AS (SELECT a.week, a.day, a.ts, a.doc_id, least(a.n_chars, 2000) AS cost, CASE coalesce(t.t, 3) WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.6 END::DOUBLE + 0.5 * least(a.n_chars / 256.0::DOUBLE, 2.0) + pow(0.5::DOUBLE, (a.w_end - a.ts) / 259200.0::DOUBLE) AS score
+  FROM articles a LEFT JOIN tiers t ON a.source = t.source WHERE a.n_chars >= 40),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY day, score DESC, ts DESC, doc_id) AS rn FROM b),
+w1 AS (SELECT week, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(-1 AS BIGINT) AS day, 0 AS k, CAST([] AS BIGINT[]) AS p FROM (SELECT DISTINCT week FROM b)
+  UNION ALL SELECT week, rn, CASE WHEN pick THEN used + cost ELSE used END, nday, CASE WHEN pick THEN nk + 1 ELSE nk END, CASE WHEN pick THEN list_append(p, doc_id) ELSE p END
+  FROM (SELECT *, len(p) < 20 AND nk < 3 AND NOT (used > 0 AND used + cost > 12000) AS pick FROM (SELECT w1.week, o1.rn, w1.used, o1.day AS nday, CASE WHEN o1.day = w1.day THEN w1.k ELSE 0 END AS nk, w1.p, o1.cost, o1.doc_id FROM w1 JOIN o1 ON o1.week = w1.week AND o1.rn = w1.rn + 1))),
+f1 AS (SELECT week, arg_max(used, rn) AS used, arg_max(p, rn) AS p FROM w1 GROUP BY week),
+o2 AS (SELECT b.*, row_number() OVER (PARTITION BY b.week ORDER BY score DESC, ts DESC, doc_id) AS rn FROM b JOIN f1 ON b.week = f1.week WHERE NOT list_contains(f1.p, b.doc_id)),
+w2 AS (SELECT week, CAST(0 AS BIGINT) AS rn, used, p FROM f1
+  UNION ALL SELECT week, rn, CASE WHEN pick THEN used + cost ELSE used END, CASE WHEN pick THEN list_append(p, doc_id) ELSE p END
+  FROM (SELECT *, len(p) < 20 AND used < 12000 AND NOT (used > 0 AND used + cost > 12000) AS pick FROM (SELECT w2.week, o2.rn, w2.used, w2.p, o2.cost, o2.doc_id FROM w2 JOIN o2 ON o2.week = w2.week AND o2.rn = w2.rn + 1))),
+f2 AS (SELECT week, arg_max(p, rn) AS p FROM w2 GROUP BY week), u AS (SELECT week, unnest(p) AS doc_id FROM f2)"""
+
+
+@query("WITH RECURSIVE " + ",".join((ARTICLES, TIERS)) + _BUDGET + " SELECT u.week AS week, u.doc_id AS doc_id, CAST(row_number() OVER (PARTITION BY u.week ORDER BY b.ts, u.doc_id) AS INTEGER) AS pick_no FROM u JOIN b ON b.week = u.week AND b.doc_id = u.doc_id")
 def budgeted_context(spark, d):
     x = tiered(spark, d).where("n_chars >= 40")
     x = x.withColumn("score", sel.score_v2(tier=F.col("source_tier"), n_chars=F.col("n_chars"), ts=F.col("ts"), end=F.col("w_end")))

@@ -100,7 +100,14 @@ def severity_reconcile(spark, d):
     return sg.reconcile(x.select(F.col("l_suppkey").alias("doc"), F.col("l_returnflag").alias("title"), s.alias("s")), doc="doc", title="title", severity="s", top=3).select("doc", "title", "n", "severity", "rank")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text, doc_id || md5(text) AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM ec WHERE text IS NOT NULL),
+sp AS (SELECT id, doc_id, string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS l FROM d WHERE flat <> ''),
+s AS (SELECT id, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM sp),
+r AS (SELECT id, i, 1 AS g, length(t) AS size FROM s WHERE i = 1
+  UNION ALL SELECT s.id, s.i, CASE WHEN r.size + 1 + length(s.t) <= 2000 THEN r.g ELSE r.g + 1 END, CASE WHEN r.size + 1 + length(s.t) <= 2000 THEN r.size + 1 + length(s.t) ELSE length(s.t) END FROM r JOIN s ON s.id = r.id AND s.i = r.i + 1),
+c AS (SELECT s.id, s.doc_id, s.i, s.t, r.g, sum(length(s.t) + 1) OVER (PARTITION BY s.id, r.g ORDER BY s.i DESC) AS back FROM s JOIN r ON s.id = r.id AND s.i = r.i WHERE r.g <= 5),
+own AS (SELECT id, any_value(doc_id) AS doc_id, g, string_agg(t, ' ' ORDER BY i) AS t FROM c GROUP BY id, g), tail AS (SELECT id, g, string_agg(t, ' ' ORDER BY i) AS t FROM c WHERE back <= 200 GROUP BY id, g)
+SELECT DISTINCT o.doc_id AS doc_id, o.g AS chunk_no, concat_ws(' ', p.t, o.t) AS chunk FROM own o LEFT JOIN tail p ON p.id = o.id AND p.g = o.g - 1""")
 def sentence_chunks(spark, d):
     return sg.chunk_documents(table(spark, d, "ec", "doc_id", "text"), doc="doc_id", text="text").distinct()
 
