@@ -1,9 +1,13 @@
+import glob
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm.nearest import nearest_pairs
 from panelspark.llm.topn import _scan_file, top_n_per_group
+from panelspark.session import shared_dir
 
 L, R = "k string, ts long, lid string, b int", "k string, ts long, rid string, e string"
 
@@ -80,3 +84,20 @@ def test_row_groups_are_skipped(tmp_path):
     got, read, skipped = _scan_file(f"file://{tmp_path}/x.parquet", 3)
     assert skipped == 9 and read == 2
     assert list(got.sort_values(["grp", "score"], ascending=[True, False])["score"]) == [1000, 999, 998, 10, 9, 8]
+
+
+def test_a_hot_group_is_split_over_files(spark):
+    """A third of all rows in one group: several files hold it, and the result stays exact."""
+    rows = [("hot" if i % 3 == 0 else f"g{i % 997}", "1", (i * 7919) % 10_007, f"i{i:06}", "", "") for i in range(60_000)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.createDataFrame(rows, "g string, d string, s long, i string, grp string, score string").repartition(8)
+        got = top_n_per_group(df, group=["g", "d"], score="s", item="i", n=5)
+        assert {(r.g, r.d, r.rank_no, r.item) for r in got.collect()} == brute_top(rows, 5)
+        base = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+        newest = max(glob.glob(f"{base}/topn-*"), key=os.path.getmtime)
+        assert spark.read.parquet(newest).where(F.col("grp").startswith("hot")).select(F.input_file_name()).distinct().count() > 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
