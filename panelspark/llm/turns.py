@@ -25,6 +25,8 @@ TIME = rf"{_MARK}(?:\s*-->\s*{_MARK})?"
 NOISE = rf"(?i)\[[\p{{L}} ,'-]{{2,40}}\]|<[\p{{L}} ]{{2,40}}>|\*[\p{{L}} ]{{2,40}}\*|♪[^♪\n]*♪|♪|\((?:{'|'.join(SOUNDS)})\)"
 HESITATION = rf"(?i)(?:[—–-]\s*)?(?<![\p{{L}}\p{{N}}'’-])(?:{'|'.join(HESITATIONS)})(?![\p{{L}}\p{{N}}'’-])(?:\.{{2,}}|…|[,.])?(?:\s*[—–-](?=\s))?"
 
+_HESITATES = rf"(?i)\b(?:{'|'.join(HESITATIONS)})\b"
+
 _TOKEN = r"\p{Lu}[\p{L}\p{M}'’.-]*"
 _PARTICLE = r"(?:de la |de |van der |van den |van |von |da |di |del |la |le |du |dos )"
 _NAME = rf"{_PARTICLE}?{_TOKEN}(?: +{_PARTICLE}?{_TOKEN}){{0,4}}"
@@ -55,13 +57,26 @@ def _squeeze(c: Column) -> Column:
 
 
 def clean_speech(c: Column) -> Column:
-    """Speech without time marks, sound notes and hesitations, blanks collapsed."""
-    for pattern in (TIME, NOISE, HESITATION):
-        c = F.regexp_replace(c, pattern, " ")
-    c = F.regexp_replace(c, r"(?:\s*[—–]\s*){2,}", " — ")
+    """Speech without time marks, sound notes and hesitations, blanks collapsed.
+
+    Each expression runs only where a cheap search says it can match. The steps are one-element
+    transforms, so that a step names its text twice without computing it twice.
+    """
+    step = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    c = step(c, lambda x: F.when(x.contains(":"), F.regexp_replace(x, TIME, " ")).otherwise(x))
+    c = step(c, lambda x: F.when(_any(x, ("[", "<", "*", "♪", "(")), F.regexp_replace(x, NOISE, " ")).otherwise(x))
+    c = step(c, lambda x: F.when(x.rlike(_HESITATES), F.regexp_replace(x, HESITATION, " ")).otherwise(x))
+    c = step(c, lambda x: F.when(_any(x, ("—", "–")), F.regexp_replace(x, r"(?:\s*[—–]\s*){2,}", " — ")).otherwise(x))
     return F.regexp_replace(_squeeze(c), r"\s+([,.;:?!])", "$1")
 
 
+def _any(x: Column, marks: tuple[str, ...]) -> Column:
+    hit = x.contains(marks[0])
+    for m in marks[1:]:
+        hit = hit | x.contains(m)
+    return hit
+
+
 def _said_name(c: Column) -> Column:
     """A label's name in lower case, "family, given" turned round, single blanks."""
     n = F.lower(_squeeze(F.translate(c, "’", "'")))
