@@ -122,10 +122,11 @@ def reconcile(mentions: DataFrame, *, doc: str, title: str, severity: str, top:
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def sentence_chunks(text: str | None, max_len: int, overlap: int, max_chunks: int) -> list[str]:
+def sentence_chunks(text: str | None, max_len: int, overlap: int, max_chunks: int | None = None) -> list[str]:
     """Sentences packed up to max_len, each chunk preceded by tail sentences of the one
     before (up to overlap characters, which come on top). Blanks are collapsed first. A
-    single sentence longer than max_len is a chunk of its own."""
+    single sentence longer than max_len is a chunk of its own. With max_chunks the text after
+    that many chunks is left out; None keeps the whole text."""
     flat = " ".join((text or "").split())
     if not flat:
         return []
@@ -153,9 +154,9 @@ def sentence_chunks(text: str | None, max_len: int, overlap: int, max_chunks: in
     return out
 
 
-def chunk_documents(df: DataFrame, *, doc: str, text: str, max_len: int = 2000, overlap: int = 200, max_chunks: int = 5) -> DataFrame:
-    """(doc, chunk_no, chunk) of every text; null and blank texts give no rows. max_chunks is
-    the operator's own limit on a document."""
+def chunk_documents(df: DataFrame, *, doc: str, text: str, max_len: int = 2000, overlap: int = 200, max_chunks: int | None = None) -> DataFrame:
+    """(doc, chunk_no, chunk) of every text; null and blank texts give no rows. The whole text
+    is kept unless the caller sets max_chunks."""
     ship_package(df.sparkSession)
     kind = df.schema[doc].dataType.simpleString()
 

@@ -175,6 +175,14 @@ def test_sentence_chunks():
     assert len(sg.sentence_chunks(text, 200, 50, 3)) == 3 and sg.sentence_chunks(None, 10, 0, 3) == [] and sg.sentence_chunks("x" * 50, 10, 0, 3) == ["x" * 50]
 
 
+def test_chunks_keep_the_whole_text(spark):
+    said = [f"This is sentence {i}." for i in range(2000)]
+    df = spark.createDataFrame([("d", " ".join(said))], "doc string, t string")
+    whole = sorted(sg.chunk_documents(df, doc="doc", text="t", overlap=0).collect(), key=lambda r: r.chunk_no)
+    assert len(whole) > 5 and " ".join(r.chunk for r in whole) == " ".join(said)
+    assert sg.chunk_documents(df, doc="doc", text="t", max_chunks=3).count() == 3
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
 
 
