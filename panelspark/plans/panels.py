@@ -135,19 +135,24 @@ def weekly_news_signals(spark, d):
     return x.select("week", "ticker", num("news_signal", "news_signal", 3), num("news_risk_score", "news_risk_score", 3), num("news_confidence", "news_confidence", 3), "news_rationale")
 
 
-def _doc_signals(spark, d, name, text, ts, prefix):
-    t = table(spark, d, name, "ticker", "doc_id", text, ts).dropDuplicates(["doc_id"])
+def _doc_signals(spark, d, name, texts, ts, prefix):
+    """Signals of whole documents: all text columns of a row are read as one text, a line apart,
+    so a document is blank only when each of them is."""
+    t = table(spark, d, name, "ticker", "doc_id", *texts, ts).dropDuplicates(["doc_id"])
     at = epoch(ts) if name == "ec" else F.unix_date(ts).cast("long") * 86400
-    rows = t.select(ticker_key().alias("ticker"), "doc_id", F.col(text).alias("x"), at.alias("ts")).where("ts IS NOT NULL AND ticker IS NOT NULL")
+    rows = t.select(ticker_key().alias("ticker"), "doc_id", F.concat_ws("\n\n", *texts).alias("x"), at.alias("ts")).where("ts IS NOT NULL AND ticker IS NOT NULL")
     return rows.select("ticker", "doc_id", "ts").join(pl.analysed(rows, ["doc_id"], "x", prefix), "doc_id").drop(f"{prefix}_rationale")
 
 
+def filing_signals(spark, d):
+    return _doc_signals(spark, d, "sec", ["management_discussion", "risk_factors"], "filing_date", "sec")
+
+
 def tier1(spark, d):
-    calls = _doc_signals(spark, d, "ec", "text", "event_ts_utc", "ec")
-    filings = _doc_signals(spark, d, "sec", "management_discussion", "filing_date", "sec")
+    calls = _doc_signals(spark, d, "ec", ["text"], "event_ts_utc", "ec")
     wk = weekly(spark, d)
     tech = pl.technical_rows(ob.history_rows(wk, ["close", "volume"], by="ticker", order="week"), keys=["week", "ticker"], columns=["close", "volume"])
-    return pl.tier1_panel(calendar(spark, d), bars(spark, d).select("ticker"), calls=calls, filings=filings, news=news_signals(spark, d), technical=tech)
+    return pl.tier1_panel(calendar(spark, d), bars(spark, d).select("ticker"), calls=calls, filings=filing_signals(spark, d), news=news_signals(spark, d), technical=tech)
 
 
 _SOURCES = ["ec", "sec", "news", "tech"]

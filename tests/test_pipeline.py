@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import observe as ob
 from panelspark.operators import pipeline as pl
+from panelspark.plans import panels
 
 
 def test_synthetic_panel_is_reproducible(spark):
@@ -84,3 +85,11 @@ def test_panels(spark):
     assert len(t) == 4 and abs(t[("w2", "A")].business_signal - want) < 1e-3 and t[("w1", "B")].judge_signal == 0
     ctx = json.loads(p.where("week = 'w2' AND ticker = 'A'").select(pl.context_json(["ec", "news"]).alias("c")).first().c)
     assert ctx["ec"]["signal"] == 4.0 and pd.isna(ctx.get("none"))
+
+
+def test_filings_are_read_in_both_sections(spark, tmp_path):
+    day = dt.date(2024, 1, 4)
+    rows = [("A", "both", day, "sales rose", "costs fell and demand weakened"), ("A", "risks", day, None, "margins improved"), ("A", "blank risks", day, " ", "orders fell"), ("A", "none", day, None, " ")]
+    spark.createDataFrame(rows, "ticker string, doc_id string, filing_date date, management_discussion string, risk_factors string").write.parquet(str(tmp_path / "sec.parquet"))
+    got = {r.doc_id: (round(r.sec_signal, 3), round(r.sec_risk_score, 3), round(r.sec_confidence, 3)) for r in panels.filing_signals(spark, str(tmp_path)).collect()}
+    assert got == {"both": (-3.333, 6.667, 0.3), "risks": (10.0, 0.0, 0.1), "blank risks": (-10.0, 10.0, 0.1), "none": (0.0, 0.0, 0.0)}
