@@ -33,14 +33,33 @@ def mahalanobis(today: np.ndarray, past: np.ndarray, min_rows: int) -> float:
     return value if math.isfinite(value) and value > 0 else 0.0
 
 
-def turbulence(df: DataFrame, *, entity: str = "ticker", day: str = "date", value: str = "close", window: int = 252, block: int = 64, min_rows: int = 20, skip_first: int = 0) -> DataFrame:
+def older_distance(today: np.ndarray, past: np.ndarray) -> float:
+    """As many leading past rows are trimmed as the column with the fewest gaps has gaps,
+    then columns with a gap are dropped. 0 without a column, two rows, or a value today.
+    Singular values at rounding level count as 0."""
+    if not past.size:
+        return 0.0
+    rows = past[np.isnan(past).sum(axis=0).min() :]
+    use = ~np.isnan(rows).any(axis=0)
+    if len(rows) < 2 or not use.any() or np.isnan(today[use]).any():
+        return 0.0
+    rows = rows[:, use]
+    gap = today[use] - rows.mean(axis=0)
+    cov = np.atleast_2d(np.cov(rows, rowvar=False, ddof=1))
+    value = float(gap @ np.linalg.pinv(cov, rcond=len(cov) * np.finfo(float).eps) @ gap)
+    return value if math.isfinite(value) and value > 0 else 0.0
+
+
+def turbulence(df: DataFrame, *, entity: str = "ticker", day: str = "date", value: str = "close", window: int = 252, block: int = 64, min_rows: int = 20, skip_first: int = 0, older: bool = False) -> DataFrame:
     """(day, turbulence): one value per day over all entities; 0 for the first ``window``.
 
     Returns are simple returns of each entity's consecutive non-null values. The window is
     the ``window`` days before, today excluded; entities without any return in it or today
     are left out, then days with a gap; fewer than ``min_rows`` days give 0, negative and
-    undefined distances too. skip_first (W17, the older form): so many first positive
-    values are set to 0. Entities form the columns of a matrix, so their number must be a
+    undefined distances too. W17, the older form: with ``older`` an entity's price is
+    carried over gaps and past its last day (return 0, as pandas before 3 does by default),
+    and ``older_distance`` drops entities instead of days, whatever ``min_rows``;
+    skip_first: so many first positive values are set to 0. Entities form the columns of a matrix, so their number must be a
     universe's, not a market's.
     """
     ship_package(df.sparkSession)
@@ -49,6 +68,9 @@ def turbulence(df: DataFrame, *, entity: str = "ticker", day: str = "date", valu
     days = df.select(day).distinct()
     packed = x.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(F.col(entity), F.col("r")))).alias("m"))
     packed = dense_index(days.join(packed, day, "left"), day, "i")
+    # one row: the first day of each entity of the universe
+    first_days = x.groupBy(entity).agg(F.min(day).alias("at")).agg(F.map_from_entries(F.collect_list(F.struct(entity, "at")))).scalar()
+    packed = packed.withColumn("starts", first_days) if older else packed
     reach = math.ceil(window / block)
     sent = packed.withColumn("b", F.explode(F.sequence(F.floor(F.col("i") / block), F.floor(F.col("i") / block) + reach)))
 
@@ -57,11 +79,17 @@ def turbulence(df: DataFrame, *, entity: str = "ticker", day: str = "date", valu
         maps = [dict(m) if m is not None else {} for m in part["m"]]
         names = sorted({k for m in maps for k in m})
         grid = np.array([[m.get(k) if m.get(k) is not None else np.nan for k in names] for m in maps], float).reshape(len(part), len(names))
+        if older:
+            starts = dict(part["starts"].iloc[0])
+            names = sorted(starts)
+            cell = lambda m, k, at: (np.nan if m[k] is None else m[k]) if k in m else 0.0 if at > starts[k] else np.nan
+            grid = np.array([[cell(m, k, at) for k in names] for m, at in zip(maps, part[day])], float).reshape(len(part), len(names))
         first, b = int(part["i"].iloc[0]), int(part["b"].iloc[0])
+        distance = older_distance if older else lambda today, past: mahalanobis(today, past, min_rows)
         out = []
         for at, i in enumerate(part["i"]):
             if i // block == b:
-                out.append((part[day].iloc[at], int(i), mahalanobis(grid[at], grid[max(0, at - window) : at], min_rows) if i >= window and i - first >= min(window, i) else 0.0))
+                out.append((part[day].iloc[at], int(i), distance(grid[at], grid[max(0, at - window) : at]) if i >= window and i - first >= min(window, i) else 0.0))
         return pd.DataFrame(out, columns=["day", "i", "turbulence"])
 
     res = sent.groupBy("b").applyInPandas(run, f"day {df.schema[day].dataType.simpleString()}, i int, turbulence double")

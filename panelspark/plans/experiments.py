@@ -72,7 +72,7 @@ def turbulence(spark, d):
 
 @query()
 def turbulence_older_form(spark, d):
-    return turb(bars(spark, d), skip_first=2).select(day("date"), num("turbulence", "turbulence", 4))
+    return turb(bars(spark, d), skip_first=2, older=True).select(day("date"), num("turbulence", "turbulence", 4))
 
 
 # Weekly returns of a ticker stand as the steps of an episode.

@@ -147,6 +147,30 @@ def test_turbulence_matches_plain_numpy(spark):
     assert (older > 0).sum() == (got > 0).sum() - 2
 
 
+def test_older_turbulence_drops_entities_not_days(spark):
+    r = np.random.default_rng(5)
+    p = np.exp(np.cumsum(r.normal(0, 0.01, (70, 4)), axis=0))
+    p[:40, 2] = np.nan  # starts late
+    p[30::3, 1] = np.nan  # has gaps all the time
+    p[50:, 3] = np.nan  # ends early
+    day = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(70)]
+    rows = [(k, day[i], float(p[i, j])) for i in range(70) for j, k in enumerate("ABCD") if not np.isnan(p[i, j])]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double")
+    got = turbulence(df, window=25, block=8, skip_first=2, older=True).toPandas().sort_values("date")["turbulence"].to_numpy()
+    ret = pd.DataFrame(p).ffill().pct_change(fill_method=None)
+    want, seen = [], 0
+    for i in range(70):
+        past = ret.iloc[max(0, i - 25) : i]
+        v = 0.0
+        if i >= 25:
+            past = past.iloc[past.isna().sum().min() :].dropna(axis=1)
+            gap = (ret.iloc[i][past.columns] - past.mean()).to_numpy()
+            v = float(gap @ np.linalg.pinv(past.cov().to_numpy()) @ gap)
+        seen += v > 0
+        want.append(v if seen > 2 else 0.0)
+    assert np.allclose(got, want) and (got[27:] > 0).all() and got[:27].max() == 0
+
+
 def test_distance_needs_rows():
     assert mahalanobis(np.array([0.1, np.nan]), np.full((30, 2), np.nan), 5) == 0
     assert mahalanobis(np.array([0.1]), np.random.default_rng(0).normal(size=(4, 1)), 5) == 0
