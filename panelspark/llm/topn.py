@@ -3,16 +3,22 @@
 Method: the three columns that matter are written clustered by group. ``REBALANCE`` lets
 AQE split a group that would overfill a file into several and merge small ones, so a hot
 group never lands in one task. Within a file rows stand by group and falling score, in
-small row groups whose minimum and maximum of group and score Parquet keeps. A task then
-takes one file: it reads its row groups in descending maximum score and skips one when
-all groups it contains are known and its maximum lies strictly below each one's current
-N-th score. What the files keep, at most N rows of each group and file, is merged by a
-last ranking.
+row groups of a few thousand rows whose minimum and maximum of group and score Parquet
+keeps. A task then takes one file: it reads its row groups in descending maximum score and
+skips one when its maximum lies strictly below the current N-th score of every group it
+contains. A row group of one group is judged by its statistics alone; where first and last
+group are both full, the group column alone is read for the exact set. What the files
+keep, at most N rows of each group and file, is merged by a last ranking.
+
+What can be skipped follows from the data: of a group with many more rows than a row
+group nearly everything is, of groups with about N rows nothing, because their rows are the
+result.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,15 +26,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.plans.times import NEWS_SQL, times_sql
-from panelspark.session import scratch_path, ship_package
+from panelspark.session import cut_lineage, drop_scratch, scratch_path, ship_package
 from panelspark.sources.tables import news_times, ticker_key
 
-#: Bytes of a row group of the clustered file: small, so that skipping has a grain.
-ROW_GROUP_BYTES = 1 << 20
+#: Rows of a row group of the clustered file: few, so that skipping has a grain.
+ROW_GROUP_ROWS = 4096
+
+
+class ScanReport:
+    """Row groups read and skipped by a call of ``top_n_per_group``."""
+
+    def __init__(self, spark: SparkSession):
+        self.read, self.skipped, self.files = (spark.sparkContext.accumulator(0) for _ in range(3))
 
 
 def _scan_file(uri: str, n: int) -> tuple[pd.DataFrame, int, int]:
     """Best n rows of each group in a clustered file; row groups read and skipped."""
+    import pyarrow.compute as pc
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -45,9 +59,11 @@ def _scan_file(uri: str, n: int) -> tuple[pd.DataFrame, int, int]:
             known = g is not None and g.has_min_max and s is not None and s.has_min_max
             stats.append((s.max if known else float("inf"), g.min if known else None, g.max if known else None, k))
         for top, low, high, k in sorted(stats, key=lambda x: (-x[0], x[3])):
-            if low is not None and low == high and nth.get(low, top) > top:
-                skipped += 1
-                continue
+            if low is not None and nth.get(low, top) > top and nth.get(high, top) > top:
+                inside = (low,) if low == high else pc.unique(file.read_row_group(k, columns=["grp"])["grp"]).to_pylist()
+                if all(nth.get(g, top) > top for g in inside):
+                    skipped += 1
+                    continue
             read += 1
             part = file.read_row_group(k, columns=["grp", "score", "item"]).to_pandas()
             part = part.sort_values(["grp", "score", "item"], ascending=[True, False, True], kind="stable").drop_duplicates(["grp", "item"])
@@ -65,13 +81,14 @@ def _scan_file(uri: str, n: int) -> tuple[pd.DataFrame, int, int]:
     return pd.DataFrame(rows, columns=["grp", "score", "item"]), read, skipped
 
 
-def top_n_per_group(df: DataFrame, *, group: list[str], score: str, item: str, n: int) -> DataFrame:
+def top_n_per_group(df: DataFrame, *, group: list[str], score: str, item: str, n: int, report: ScanReport | None = None) -> DataFrame:
     """(group..., rank_no, item, score): the n highest scores of each group.
 
     score: a whole number; rows with a null score, item or group column are out. Ties go
     to the smaller item. An item that repeats within a group counts once, by its best
     score. Groups with fewer than n items come out whole. Empty input: no rows. Other
-    columns are ignored. The clustered file lies in the session's shared folder.
+    columns are ignored. The clustered file lies in the session's shared folder until the
+    result, at most n rows a group, is checkpointed there. report: counts row groups.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -81,21 +98,24 @@ def top_n_per_group(df: DataFrame, *, group: list[str], score: str, item: str, n
         rows = rows.where(f"ok{i}").drop(f"ok{i}")
     rows = rows.dropna()
     path = scratch_path(spark, "topn")
-    rows.hint("rebalance", "grp").sortWithinPartitions("grp", F.desc("score"), "item").write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").parquet(path)
-    files = spark.read.schema(rows.schema).parquet(path).inputFiles()  # names only: one per clustered file
-    if not files:
-        kept = spark.createDataFrame([], rows.schema)
-    else:
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for uri in part["uri"]:
-                    yield _scan_file(uri, n)[0]
-
-        names = spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files), "uri")
-        kept = names.mapInPandas(scan, rows.schema)
+    rows.hint("rebalance", "grp").sortWithinPartitions("grp", F.desc("score"), "item").write.option("parquet.block.row.count.limit", ROW_GROUP_ROWS).option("compression", "zstd").parquet(path)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for uri in part["uri"]:
+                best, read, skipped = _scan_file(re.sub(r"^file:/+", "file:///", uri), n)
+                if report is not None:
+                    report.read.add(read)
+                    report.skipped.add(skipped)
+                    report.files.add(1)
+                yield best
+
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("uri"))  # names only, no content
+    kept = names.mapInPandas(scan, rows.schema)
     kept = kept.groupBy("grp", "item").agg(F.max("score").alias("score"))
     w = Window.partitionBy("grp").orderBy(F.desc("score"), "item")
-    kept = kept.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    kept = cut_lineage(kept.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n))
+    drop_scratch(spark, path)
     parts = F.split("grp", sep)
     return kept.select(*[parts[i].cast(df.schema[g].dataType).alias(g) for i, g in enumerate(group)], "rank_no", "item", "score")
 

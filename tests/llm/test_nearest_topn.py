@@ -1,12 +1,13 @@
 import glob
-import os
 import random
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from panelspark.llm.nearest import nearest_pairs
-from panelspark.llm.topn import _scan_file, top_n_per_group
+from panelspark.llm.topn import ScanReport, _scan_file, top_n_per_group
 from panelspark.session import shared_dir
 
 L, R = "k string, ts long, lid string, b int", "k string, ts long, rid string, e string"
@@ -75,10 +76,6 @@ def test_top_n(spark):
 
 
 def test_row_groups_are_skipped(tmp_path):
-    import pandas as pd
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
     rows = pd.DataFrame({"grp": ["a"] * 1000 + ["b"] * 10, "score": [*range(1000, 0, -1), *range(10, 0, -1)], "item": [f"{i:04}" for i in range(1010)]})
     pq.write_table(pa.Table.from_pandas(rows, preserve_index=False), tmp_path / "x.parquet", row_group_size=100)
     got, read, skipped = _scan_file(f"file://{tmp_path}/x.parquet", 3)
@@ -86,18 +83,26 @@ def test_row_groups_are_skipped(tmp_path):
     assert list(got.sort_values(["grp", "score"], ascending=[True, False])["score"]) == [1000, 999, 998, 10, 9, 8]
 
 
-def test_a_hot_group_is_split_over_files(spark):
-    """A third of all rows in one group: several files hold it, and the result stays exact."""
-    rows = [("hot" if i % 3 == 0 else f"g{i % 997}", "1", (i * 7919) % 10_007, f"i{i:06}", "", "") for i in range(60_000)]
-    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+def test_a_hot_group_is_split_and_skipped(spark):
+    """A third of all rows in one group: several files hold it, most of its row groups are skipped, and the result stays exact."""
+    rows = [("hot" if i % 3 == 0 else f"g{i % 11}", "1", (i * 7919) % 10_007, f"i{i:06}", "", "") for i in range(240_000)]
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    keep = spark.conf.get(key)
+    spark.conf.set(key, "1m")
     try:
         df = spark.createDataFrame(rows, "g string, d string, s long, i string, grp string, score string").repartition(8)
-        got = top_n_per_group(df, group=["g", "d"], score="s", item="i", n=5)
-        assert {(r.g, r.d, r.rank_no, r.item) for r in got.collect()} == brute_top(rows, 5)
-        base = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-        newest = max(glob.glob(f"{base}/topn-*"), key=os.path.getmtime)
-        assert spark.read.parquet(newest).where(F.col("grp").startswith("hot")).select(F.input_file_name()).distinct().count() > 1
+        report = ScanReport(spark)
+        got = {(r.g, r.d, r.rank_no, r.item) for r in top_n_per_group(df, group=["g", "d"], score="s", item="i", n=5, report=report).collect()}
+        assert got == brute_top(rows, 5)
+        assert report.files.value > 1 and report.skipped.value > report.read.value
+        assert not glob.glob(f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/topn-*")
     finally:
-        for k, v in keep.items():
-            spark.conf.set(k, v)
+        spark.conf.set(key, keep)
+
+
+def test_row_group_of_several_full_groups_is_skipped(tmp_path):
+    """Two sorted runs in one file: the second run's groups are all full when it is met."""
+    rows = pd.DataFrame({"grp": ["a"] * 5 + ["b"] * 5 + ["a"] * 5 + ["b"] * 4 + ["c"], "score": [9] * 10 + [3] * 10, "item": [f"{i:02}" for i in range(20)]})
+    for last, want in ((20, (2, 0)), (19, (1, 1))):
+        pq.write_table(pa.Table.from_pandas(rows[:last], preserve_index=False), tmp_path / "y.parquet", row_group_size=10)
+        assert _scan_file(f"file://{tmp_path}/y.parquet", 3)[1:] == want
