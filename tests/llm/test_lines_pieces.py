@@ -1,3 +1,5 @@
+import random
+
 import random
 import re
 
@@ -5,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panelspark.llm.lines import flagged_lines, remove_repeated_lines
-from panelspark.llm.pieces import cut, split_oversized
+from panelspark.llm.pieces import cut, parse, split_oversized
 
 SCHEMA = "doc_id string, source string, text string, doc string, line_no int, _hit int"
 ARGS = {"group": "source", "doc": "doc_id", "text": "text"}
@@ -100,3 +102,39 @@ def test_split_operator(spark):
     assert back == "word " * 3000
     assert all(re.search(r"\s$", r.piece) for r in got if r.doc_id is None)
     assert split_oversized(df.limit(0), doc="doc_id", field="text", name="f").count() == 0
+
+
+def body(n, word="lorem"):
+    return " ".join(f"{word}{i}." for i in range(n))
+
+
+def test_headings_stay_with_their_bodies():
+    text = f"# A\n\n{body(300)}\n\n# B\n\n## B1\n\n{body(300)}\n\n## B2\n\n{body(20)}\n\n## B3\n\n{body(20)}\n\n# C\n\n{body(20)}\n"
+    spans = cut(text, 1000, 100)
+    assert "".join(text[n:e] for _, n, e in spans) == text
+    fresh = [text[n:e] for _, n, e in spans]
+    for head in ("# A", "## B1", "## B2", "# C"):
+        k = [i for i, p in enumerate(fresh) if f"{head}\n" in p]
+        assert len(k) == 1 and len(fresh[k[0]].split(f"{head}\n")[1].strip()) > 50, head
+    # the end of a section that was cut stands alone; whole sections are merged
+    assert any(p.startswith("# B\n\n## B1") for p in fresh)
+    assert any("## B2" in p and "## B3" in p for p in fresh)
+
+
+def test_tree_of_headings_and_lists():
+    text = "intro\n\nPART I\n\nItem 1. Business\n\n- a\n  - a1\n  - a2\n- b\n\nwords\n\nItem 2. Risks\n\nmore\n"
+    root = parse(text)
+    part = root.kids[1]
+    assert [k.section for k in root.kids] == [False, True] and [text[k.start : k.end].split("\n")[0] for k in part.kids] == ["PART I", "Item 2. Risks"]
+    item = part.kids[0].kids
+    assert [text[k.start : k.end].strip()[-8:] for k in item] == ["a1\n  - a2", "- b", "words"] or len(item) == 3
+    assert [text[k.start : k.end].strip() for k in item[0].kids][-2:] == ["- a1", "- a2"]
+
+
+def test_overlap_is_kept_in_bounds():
+    rng = random.Random(2)
+    for _ in range(30):
+        text = "".join(rng.choice(["word ", "longer word. ", "\n\n", "# Head\n\n", "- item\n", "x" * 50, "Title line\n\n"]) for _ in range(900))
+        spans = cut(text, 600, 80)
+        for (s0, n0, e0), (s, n, e) in zip(spans, spans[1:]):
+            assert e - s <= 600 and n == e0 and min(50, e0 - s0) <= n - s <= 80
