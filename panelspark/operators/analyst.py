@@ -103,8 +103,10 @@ def call_analyst(df: DataFrame, *, key: list[str], text: str, analyst: Analyst,
 _FINDINGS = "struct<risks: array<struct<title: string, category: string, severity: string>>, strengths: array<string>>"
 
 
-def digest_documents(df: DataFrame, *, doc: str, text: str, analyst: Analyst | None = None, group: int = 15, max_len: int = 2000, overlap: int = 200, max_chunks: int = 50, top: int = 10) -> DataFrame:
-    """(doc, n_chunks, top_risks, rubric_risk, rubric_signal).
+def digest_documents(df: DataFrame, *, doc: str, text: str, analyst: Analyst | None = None, group: int = 15, max_len: int = 2000, overlap: int = 200, max_chunks: int | None = None, top: int | None = None) -> DataFrame:
+    """(doc, n_chunks, n_risks, top_risks, rubric_risk, rubric_signal).
+
+    The rubric counts all risks; top_risks lists the first ``top`` of the n_risks, all by default.
 
     Texts are cut into chunks and mapped; findings are counted first within groups of
     ``group`` chunks and then over the document, so a long document is no long task.
@@ -116,11 +118,14 @@ def digest_documents(df: DataFrame, *, doc: str, text: str, analyst: Analyst | N
     part = risks.groupBy(doc, "grp", "title", "severity").agg(F.count("*").alias("n"))
     whole = part.groupBy(doc, "title").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("severity") == "high", F.col("n")).otherwise(0)).alias("_h"))
     whole = whole.withColumn("severity", F.when(F.col("_h") * 2 > F.col("n"), "high").otherwise("medium"))
-    best = whole.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "title", "severity"))), 1, top).alias("t"))
+    best = whole.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "title", "severity"))).alias("t"))
     best = best.select(doc, F.transform("t", lambda x: F.struct(x["title"].alias("title"), x["severity"].alias("severity"), (-x["neg"]).alias("n"))).alias("top_risks"))
     strong = said.groupBy(doc).agg(F.count("*").alias("n_chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("f.strengths", F.array().cast("array<string>")))))).alias("strengths"))
     out = strong.join(best, doc, "left").withColumn("_sev", F.transform("top_risks", lambda x: x["severity"]))
-    return rubric(out, F.col("_sev"), F.col("strengths")).drop("_sev", "strengths")
+    out = rubric(out, F.col("_sev"), F.col("strengths")).withColumn("n_risks", F.coalesce(F.size("top_risks"), F.lit(0)))
+    if top is not None:
+        out = out.withColumn("top_risks", F.slice("top_risks", 1, top))
+    return out.select(doc, "n_chunks", "n_risks", "top_risks", "rubric_risk", "rubric_signal")
 
 
 def signals_from_replies(df: DataFrame, reply: str) -> DataFrame:

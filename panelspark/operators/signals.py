@@ -37,7 +37,36 @@ ENUMS: dict[str, tuple[dict[str, str], tuple[str, ...], str]] = {
         ("headwind", "tailwind", "unclear"),
         "unclear",
     ),
-    "severity": ({}, ("low", "medium", "high"), "medium"),
+    "severity": ({"moderate": "medium", "med": "medium", "medium_risk": "medium", "high_risk": "high", "severe": "high", "low_risk": "low"}, ("low", "medium", "high"), "medium"),
+    "driver": (
+        {"digital": "technology", "ai": "technology", "cloud": "technology", "platform": "technology", "online": "technology", "saas": "technology", "capital": "cost", "capital_efficiency": "efficiency", "margin": "pricing", "price": "pricing", "pricing_power": "pricing", "marketing": "brand", "brand_investment": "brand", "distribution": "channel", "go_to_market": "channel", "gtm": "channel", "geo": "geography"},
+        ("product", "pricing", "mix", "geography", "fx", "cost", "efficiency", "demand", "acquisition", "partnership", "technology", "brand", "channel", "regulation", "other"),
+        "other",
+    ),
+    "confidence": ({"moderate": "medium", "med": "medium", "strong": "high", "high_confidence": "high", "weak": "low", "low_confidence": "low"}, ("low", "medium", "high"), "medium"),
+    "news_category": (
+        {"results": "earnings", "q3 results": "earnings", "q4 results": "earnings", "outlook": "guidance", "forecast": "guidance", "launch": "product", "products": "product", "m&a": "mna", "merger": "mna", "acquisition": "mna", "deal": "mna", "lawsuit": "litigation", "legal": "litigation", "regulation": "regulatory", "compliance": "regulatory", "market": "macro", "economy": "macro", "sector": "industry", "leadership": "management", "executive": "management", "capital": "financing"},
+        ("earnings", "guidance", "product", "mna", "litigation", "regulatory", "macro", "industry", "management", "financing"),
+        "other",
+    ),
+    # the forms of a compressed summary know fewer synonyms
+    "short_category": (
+        {"market": "macro", "market_risk": "macro", "regulatory_risk": "regulatory", "credit_risk": "credit", "liquidity_risk": "liquidity", "fx_risk": "fx", "currency": "fx", "technology_risk": "technology", "it": "technology", "governance_risk": "governance", "esg_risk": "esg"},
+        ("regulatory", "litigation", "supply_chain", "macro", "fx", "competition", "cyber", "liquidity", "covenant", "execution", "governance", "technology", "credit", "tax", "reputation", "esg", "other"),
+        "other",
+    ),
+    "short_severity": ({"moderate": "medium", "med": "medium", "high_risk": "high", "low_risk": "low"}, ("low", "medium", "high"), "medium"),
+    "short_direction": (
+        {"negative": "headwind", "risk": "headwind", "pressure": "headwind", "drag": "headwind", "positive": "tailwind", "supportive": "tailwind", "benefit": "tailwind", "neutral": "unclear", "mixed": "unclear"},
+        ("headwind", "tailwind", "unclear"),
+        "unclear",
+    ),
+    "short_driver": (
+        {"digital": "technology", "ai": "technology", "cloud": "technology", "platform": "technology", "online": "technology", "capital": "cost", "capital_efficiency": "efficiency", "margin": "pricing", "price": "pricing", "marketing": "brand", "distribution": "channel", "go_to_market": "channel", "geo": "geography"},
+        ("product", "pricing", "mix", "geography", "fx", "cost", "efficiency", "demand", "acquisition", "partnership", "technology", "brand", "channel", "regulation", "other"),
+        "other",
+    ),
+    "short_confidence": ({"moderate": "medium", "med": "medium", "strong": "high", "weak": "low"}, ("low", "medium", "high"), "medium"),
 }
 
 
@@ -110,13 +139,15 @@ def rubric(df: DataFrame, severities: str, strengths: str) -> DataFrame:
     return df.withColumn("rubric_risk", risk).withColumn("rubric_signal", F.when(good >= weight + 2, 6.0).when(weight >= good + 2, -7.0).otherwise(0.0))
 
 
-def reconcile(mentions: DataFrame, *, doc: str, title: str, severity: str, top: int = 10) -> DataFrame:
+def reconcile(mentions: DataFrame, *, doc: str, title: str, severity: str, top: int | None = None) -> DataFrame:
     """(doc, title, severity, n, rank): one row per risk of a document. High only if most
-    mentions say so, otherwise medium (or low when all are low); the most mentioned first."""
+    mentions say so, otherwise medium (or low when all are low); the most mentioned first. top: a report of the
+    first so many; None keeps all."""
     g = mentions.where(F.col(title).isNotNull()).groupBy(doc, title).agg(F.count("*").alias("n"), F.count_if(F.col(severity) == "high").alias("_h"), F.count_if(F.col(severity) == "low").alias("_l"))
     g = g.withColumn("severity", F.when(F.col("_h") * 2 > F.col("n"), "high").when(F.col("_l") == F.col("n"), "low").otherwise("medium")).drop("_h", "_l")
     w = Window.partitionBy(doc).orderBy(F.desc("n"), title)
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    g = g.withColumn("rank", F.row_number().over(w))
+    return g if top is None else g.where(F.col("rank") <= top)
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import analyst as an
 from panelspark.operators import signals as sg
+from panelspark.operators.replies import SCHEMAS, validate
 from panelspark.plans.base import num, sql_num
 from panelspark.sources.tables import table
 
@@ -64,18 +65,41 @@ def json_signal_extract(spark, d):
     return x.select("event_id", num("signal", "signal"), num("risk_score", "risk_score"), num("confidence", "confidence"), "rationale", sg.signal_label(F.col("signal")).alias("signal_label"), sg.risk_label(F.col("risk_score")).alias("risk_label"))
 
 
-# Spellings of categories, picked by key.
-_SPELLINGS = ["Market", " FX_RISK", "lawsuit", "Cyber", "unknown thing", "tech ", "TAX", "currency", "esg_risk", "", "supportive", "Rates", "drag", "HIGH", "neutral"]
+# What each spelling must become, written out here and not taken from the operator.
+# "a b c > d": a, b and c become d; what isn't listed becomes the value after "else".
+_EXPECTED = {
+    "category": "market market_risk macroeconomic macro > macro; regulatory_risk regulatory > regulatory; legal lawsuit litigation > litigation; currency fx_risk fx > fx; competition_risk competition > competition; security cybersecurity cyber > cyber; liquidity_risk liquidity > liquidity; covenant_risk covenant > covenant; execution_risk execution > execution; tech technology_risk technology > technology; governance_risk governance > governance; esg_risk esg > esg; supply_chain > supply_chain; credit > credit; tax > tax; reputation > reputation; else other",
+    "factor": "currency fx_risk fx > fx; rates rate interest interest_rate > interest_rate; inflation_risk inflation > inflation; labor_market employment labor > labor; housing_market housing > housing; equity stock_market equity_market > equity_market; regulatory regulation > regulation; commodity > commodity; geography > geography; customer_concentration > customer_concentration; supplier_concentration > supplier_concentration; industry > industry; credit_spread > credit_spread; else other",
+    "direction": "negative risk pressure drag challenging headwind > headwind; positive supportive benefit favorable tailwind > tailwind; else unclear",
+    "severity": "high_risk severe high > high; low_risk low > low; else medium",
+    "driver": "digital ai cloud platform online saas technology > technology; capital cost > cost; capital_efficiency efficiency > efficiency; margin price pricing_power pricing > pricing; marketing brand_investment brand > brand; distribution go_to_market gtm channel > channel; geo geography > geography; product > product; mix > mix; fx > fx; demand > demand; acquisition > acquisition; partnership > partnership; regulation > regulation; else other",
+    "confidence": "strong high_confidence high > high; weak low_confidence low > low; else medium",
+    "news_category": "earnings results q3_results q4_results > earnings; guidance outlook forecast > guidance; product launch products > product; mna m&a merger acquisition deal > mna; litigation lawsuit legal > litigation; regulatory regulation compliance > regulatory; macro market economy > macro; industry sector > industry; management leadership executive > management; financing capital > financing; else other",
+    "short_category": "market market_risk macro > macro; regulatory_risk regulatory > regulatory; credit_risk credit > credit; liquidity_risk liquidity > liquidity; fx_risk currency fx > fx; technology_risk it technology > technology; governance_risk governance > governance; esg_risk esg > esg; litigation > litigation; supply_chain > supply_chain; competition > competition; cyber > cyber; covenant > covenant; execution > execution; tax > tax; reputation > reputation; else other",
+    "short_severity": "high_risk high > high; low_risk low > low; else medium",
+    "short_direction": "negative risk pressure drag headwind > headwind; positive supportive benefit tailwind > tailwind; else unclear",
+    "short_driver": "digital ai cloud platform online technology > technology; capital cost > cost; capital_efficiency efficiency > efficiency; margin price pricing > pricing; marketing brand > brand; distribution go_to_market channel > channel; geo geography > geography; product > product; mix > mix; fx > fx; demand > demand; acquisition > acquisition; partnership > partnership; regulation > regulation; else other",
+    "short_confidence": "strong high > high; weak low > low; else medium",
+}
+
+
+def _spelt(w: str) -> str:
+    return w.replace("_results", " results")
+
+
+_RULES = {v: [(r.partition(" > ")[0].split(), r.partition(" > ")[2]) for r in text.split("; ")[:-1]] for v, text in _EXPECTED.items()}
+_WORDS = sorted({_spelt(w) for rules in _RULES.values() for words, _ in rules for w in words})
+# in the forms that replies have: blanks around, other case, unknown words
+_SPELLINGS = [*_WORDS, *(f" {w.upper()} " for w in _WORDS[::3]), *(w.title() for w in _WORDS[1::3]), "unknown thing", "", "moderate", "med", "medium_risk", "neutral", "mixed"]
 _LIST = "[" + ", ".join(f"'{s}'" for s in _SPELLINGS) + "]"
 
 
 def _enum_sql(v: str) -> str:
-    syn, allowed, default = sg.ENUMS[v]
-    mapped = "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in syn.items()) + " ELSE s END" if syn else "s"
-    return f"CASE WHEN ({mapped}) IN ({', '.join(repr(a) for a in allowed)}) THEN ({mapped}) ELSE '{default}' END AS {v}"
+    cases = " ".join(f"WHEN s IN ({', '.join(repr(_spelt(w)) for w in words)}) THEN '{to}'" for words, to in _RULES[v])
+    return f"CASE {cases} ELSE '{_EXPECTED[v].rpartition('else ')[2]}' END AS {v}"
 
 
-@query(f"WITH o AS (SELECT o_orderkey, lower(trim({_LIST}[o_orderkey % {len(_SPELLINGS)} + 1])) AS s FROM orders) SELECT o_orderkey, {', '.join(_enum_sql(v) for v in sg.ENUMS)} FROM o")
+@query(f"WITH o AS (SELECT o_orderkey, lower(trim({_LIST}[o_orderkey % {len(_SPELLINGS)} + 1])) AS s FROM orders) SELECT o_orderkey, {', '.join(_enum_sql(v) for v in _EXPECTED)} FROM o")
 def enum_normalize(spark, d):
     o = table(spark, d, "orders", "o_orderkey")
     raw = F.element_at(F.array(*[F.lit(s) for s in _SPELLINGS]), (F.col("o_orderkey") % len(_SPELLINGS) + 1).cast("int"))
@@ -105,7 +129,7 @@ sp AS (SELECT id, doc_id, string_split(regexp_replace(flat, '([.!?]) ', '\\1' ||
 s AS (SELECT id, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM sp),
 r AS (SELECT id, i, 1 AS g, length(t) AS size FROM s WHERE i = 1
   UNION ALL SELECT s.id, s.i, CASE WHEN r.size + 1 + length(s.t) <= 2000 THEN r.g ELSE r.g + 1 END, CASE WHEN r.size + 1 + length(s.t) <= 2000 THEN r.size + 1 + length(s.t) ELSE length(s.t) END FROM r JOIN s ON s.id = r.id AND s.i = r.i + 1),
-c AS (SELECT s.id, s.doc_id, s.i, s.t, r.g, sum(length(s.t) + 1) OVER (PARTITION BY s.id, r.g ORDER BY s.i DESC) AS back FROM s JOIN r ON s.id = r.id AND s.i = r.i WHERE r.g <= 5),
+c AS (SELECT s.id, s.doc_id, s.i, s.t, r.g, sum(length(s.t) + 1) OVER (PARTITION BY s.id, r.g ORDER BY s.i DESC) AS back FROM s JOIN r ON s.id = r.id AND s.i = r.i),
 own AS (SELECT id, any_value(doc_id) AS doc_id, g, string_agg(t, ' ' ORDER BY i) AS t FROM c GROUP BY id, g), tail AS (SELECT id, g, string_agg(t, ' ' ORDER BY i) AS t FROM c WHERE back <= 200 GROUP BY id, g)
 SELECT DISTINCT o.doc_id AS doc_id, o.g AS chunk_no, concat_ws(' ', p.t, o.t) AS chunk FROM own o LEFT JOIN tail p ON p.id = o.id AND p.g = o.g - 1""")
 def sentence_chunks(spark, d):
@@ -114,8 +138,35 @@ def sentence_chunks(spark, d):
 
 @query()
 def analyst_digest(spark, d):
-    x = an.digest_documents(table(spark, d, "sec", "doc_id", "risk_factors").dropna().distinct(), doc="doc_id", text="risk_factors")
-    return x.select("doc_id", "n_chunks", F.to_json("top_risks").alias("top_risks"), "rubric_risk", "rubric_signal")
+    """Over all three text fields."""
+    text = lambda t, c: table(spark, d, t, "doc_id", c).dropna().distinct().select(F.concat_ws("|", F.lit(f"{t}.{c}"), "doc_id").alias("doc_id"), F.col(c).alias("text"))
+    every = text("ec", "text").unionByName(text("sec", "management_discussion")).unionByName(text("sec", "risk_factors"))
+    x = an.digest_documents(every, doc="doc_id", text="text")
+    return x.select("doc_id", "n_chunks", "n_risks", F.to_json("top_risks").alias("top_risks"), "rubric_risk", "rubric_signal")
+
+
+# Replies to be validated, built from each order's own key: whole, lacking fields, of wrong type, no JSON.
+_REPLIES = (
+    ('{"summary_text": "s', '", "top_risks": [{"title": "r", "category": "Market", "severity": "severe"}], "rl": {"signal": 3}}'),
+    ('{"summary_text": "s', '", "top_risks": [{"category": "tax"}, {"title": "q"}], "flags": ["a", "b"]}'),
+    ('{"top_risks": "none", "rl": {"signal": 40, "n": ', '}}'),
+    ('{"summary_text": ', ', "opportunities": [{"title": "o", "driver": "saas", "confidence": "Strong"}], "rl": {"signal": "x"}}'),
+    ("no json ", ""),
+)
+_REPLY_SQL = " ".join(f"WHEN {i} THEN '{a}' || o_orderkey || '{b}'" for i, (a, b) in enumerate(_REPLIES))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'top_risks.0.title: missing' WHEN 2 THEN 'summary_text: missing; top_risks: not a list' WHEN 3 THEN 'rl.signal: not a number' ELSE 'no JSON object' END AS errors,
+CASE o_orderkey % 5 WHEN 0 THEN 's' || o_orderkey WHEN 1 THEN 's' || o_orderkey WHEN 3 THEN CAST(o_orderkey AS VARCHAR) END AS summary_text,
+CASE o_orderkey % 5 WHEN 0 THEN 'r,macro,high' WHEN 1 THEN '-,tax,medium;q,other,medium' ELSE '' END AS risks,
+CASE o_orderkey % 5 WHEN 3 THEN 'o,technology,high' ELSE '' END AS chances, CASE o_orderkey % 5 WHEN 1 THEN 2 ELSE 0 END AS n_flags,
+CAST(CASE o_orderkey % 5 WHEN 0 THEN 3 WHEN 2 THEN 10 ELSE 0 END AS DOUBLE) AS signal FROM orders""")
+def reply_validation(spark, d):
+    o = table(spark, d, "orders", "o_orderkey")
+    reply = F.coalesce(*[F.when(F.col("o_orderkey") % 5 == i, F.concat(F.lit(a), F.col("o_orderkey").cast("string"), F.lit(b))) for i, (a, b) in enumerate(_REPLIES)])
+    x = validate(o.select("o_orderkey", reply.alias("reply")), "reply", SCHEMAS["filing"])
+    flat = lambda c, *fields: F.array_join(F.transform(c, lambda r: F.concat_ws(",", *[F.coalesce(r[f], F.lit("-")) for f in fields])), ";")
+    return x.select("o_orderkey", F.array_join("errors", "; ").alias("errors"), "summary_text", flat("top_risks", "title", "category", "severity").alias("risks"), flat("opportunities", "title", "driver", "confidence").alias("chances"), F.size("flags").alias("n_flags"), F.col("rl_signal").alias("signal"))
 
 
 def queries() -> dict:
