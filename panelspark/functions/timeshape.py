@@ -12,9 +12,13 @@ plain column arithmetic, and civil times go through zone transition tables keyed
 from __future__ import annotations
 
 import datetime as dt
+import importlib.resources
 import itertools
 import re
+import zoneinfo
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,18 +139,59 @@ def layouts() -> list[tuple]:
     return [(m, r.get("kind", "civil"), r.get("slash", False), r.get("sign"), r.get("mon"), r.get("ampm"), r.get("zone"), *(r.get(f) for f in _FIELDS)) for m, r in rows.items()]
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of fixed content, made once a session."""
+    key = (spark.sparkContext.applicationId, id(spark), *name)
+    if key not in _TABLES:
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 def mask_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(layouts(), LAYOUT)
+    return _once(spark, ("masks",), lambda: spark.createDataFrame(layouts(), LAYOUT))
 
 
-def zone_version() -> str:
-    """IANA release behind the transition tables."""
+def unknown_masks(df: DataFrame, column: str) -> DataFrame:
+    """(mask, n, example) of values, neither null nor blank, whose shape has no parser; the most
+    frequent first. What is counted here comes out of ``normalise`` as null."""
+    d = df.select(F.col(column).cast("string").alias("raw")).where(F.trim("raw") != "").withColumn("m", mask_of(clean(F.col("raw"))))
+    d = d.join(F.broadcast(mask_table(df.sparkSession).select("mask")), F.col("m") == F.col("mask"), "left_anti")
+    return d.groupBy(F.col("m").alias("mask")).agg(F.count("*").alias("n"), F.min("raw").alias("example")).orderBy(F.desc("n"), "mask")
+
+
+def _release() -> Path | None:
+    """Folder of the release that the tables are made from: the wheel's, or None for this machine's."""
     try:
+        return Path(str(importlib.resources.files("tzdata.zoneinfo")))
+    except ModuleNotFoundError:
+        return None
+
+
+def zone_version() -> str:
+    """IANA release behind the transition tables: the one they are really read from. They are
+    made on the driver and sent along, so executors' own releases don't matter."""
+    if _release():
         import tzdata
 
         return tzdata.IANA_VERSION
-    except ImportError:
-        return "system"
+    for folder in map(Path, zoneinfo.TZPATH):
+        if (folder / "tzdata.zi").exists():
+            return (folder / "tzdata.zi").open().readline().split()[-1]
+    return "unknown"
+
+
+def _zone(name: str) -> ZoneInfo:
+    base = _release()
+    if base is None:
+        return ZoneInfo(name)
+    try:
+        with (base / name).open("rb") as f:
+            return ZoneInfo.from_file(f, key=name)
+    except (FileNotFoundError, IsADirectoryError) as e:
+        raise zoneinfo.ZoneInfoNotFoundError(f"no zone {name} in release {zone_version()}") from e
 
 
 def _offset(zone: ZoneInfo, t: int) -> int:
@@ -161,7 +206,7 @@ def transitions(name: str) -> list[tuple[str, int, list[tuple[int, int]]]]:
     read with the offset before the gap: a segment begins at the transition in the
     larger of both offsets.
     """
-    zone = ZoneInfo(name)
+    zone = _zone(name)
     first = int(dt.datetime(YEARS[0], 1, 1, tzinfo=dt.timezone.utc).timestamp()) - 86400 * 3
     last = int(dt.datetime(YEARS[1] + 1, 1, 1, tzinfo=dt.timezone.utc).timestamp()) + 86400 * 3
     step, changes, before = 86400 * 4, [], _offset(zone, first)
@@ -192,7 +237,8 @@ ZONE_ROW = T.StructType(
 
 def zone_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     """Transition table of the given zones: at most ~600 IANA names times 100 years."""
-    return spark.createDataFrame([r for z in sorted({*zones, *CIVIL.values()}) for r in transitions(z)], ZONE_ROW)
+    names = tuple(sorted({*zones, *CIVIL.values()}))
+    return _once(spark, ("zones", *names), lambda: spark.createDataFrame([r for z in names for r in transitions(z)], ZONE_ROW))
 
 
 def _get(slot: str) -> Column:
@@ -285,7 +331,7 @@ def normalise(
 
 def civil_from_epoch(df: DataFrame, column: str, zone: str, out: str) -> DataFrame:
     """Adds the civil second count of ``zone`` at an instant. Null stays null."""
-    changes = [(-(10**15), _offset(ZoneInfo(zone), int(dt.datetime(YEARS[0], 1, 1, tzinfo=dt.timezone.utc).timestamp())))]
+    changes = [(-(10**15), _offset(_zone(zone), int(dt.datetime(YEARS[0], 1, 1, tzinfo=dt.timezone.utc).timestamp())))]
     seen = changes[0][1]
     for _, _, segs in transitions(zone):
         for since, off in segs:
@@ -297,7 +343,8 @@ def civil_from_epoch(df: DataFrame, column: str, zone: str, out: str) -> DataFra
         a = int(dt.datetime(year, 1, 1, tzinfo=dt.timezone.utc).timestamp())
         b = int(dt.datetime(year + 1, 1, 1, tzinfo=dt.timezone.utc).timestamp())
         by_year[year] = [c for c in changes if c[0] <= a][-1:] + [c for c in changes if a < c[0] < b]
-    t = df.sparkSession.createDataFrame([(y, s) for y, s in by_year.items()], T.StructType([T.StructField("cz_year", T.IntegerType()), T.StructField("cz_segments", ZONE_ROW["tz_segments"].dataType)]))
+    row = T.StructType([T.StructField("cz_year", T.IntegerType()), T.StructField("cz_segments", ZONE_ROW["tz_segments"].dataType)])
+    t = _once(df.sparkSession, ("civil", zone), lambda: df.sparkSession.createDataFrame([(y, s) for y, s in by_year.items()], row))
     year = F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(F.date_from_unix_date(F.floor(F.col(column) / 86400).cast("int")))))
     d = df.withColumn("_cz", year).join(F.broadcast(t), F.col("_cz") == F.col("cz_year"), "left")
     off = F.expr(f"try_element_at(filter(cz_segments, x -> x.since <= `{column}`), -1).offset")

@@ -98,13 +98,26 @@ def max_abs(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.coalesce(F.max(F.abs(F.col(c))), F.lit(1.0)).alias(c) for c in columns])
 
 
+#: Ranges into which a ranking is cut.
+RANGES = 64
+
+
 def score_runs(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted score (missing counts 0) and rank, ties by run_id.
 
-    One row a run. The ranking sorts in one task, over the table of runs.
+    One row a run. Scores are cut into ranges at approximate quantiles; a run's rank is its
+    rank in its range plus the runs in the ranges above, so no task sorts all runs.
     """
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * v for c, v in weights.items()), F.lit(0.0))
-    return df.withColumn("score", total).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "run_id")))
+    scored = df.withColumn("score", total)
+    cuts = sorted(set(scored.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)])).first()[0] or []))  # at most RANGES numbers
+    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda x: F.col("score") < x)) if cuts else F.lit(0)
+    scored = scored.withColumn("_range", above)
+    counts = {r["_range"]: r["count"] for r in scored.groupBy("_range").count().collect()}  # at most RANGES rows
+    before = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
+    start = F.coalesce(*[F.when(F.col("_range") == k, F.lit(n)) for k, n in before.items()], F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("score"), "run_id"))
+    return scored.withColumn("rank", (start + rank).cast("int")).drop("_range")
 
 
 def nav_check(steps: DataFrame, perf: DataFrame, *, episode: str, log_return: str, tolerance: float = 1e-6) -> DataFrame:

@@ -45,14 +45,16 @@ def analysed(df: DataFrame, keys: list[str], text: str, prefix: str, analyst: An
     return _prefixed(out.withColumn("confidence", F.when(quiet, 0.0).otherwise(F.col("confidence"))), prefix, keys)
 
 
-def weekly_context(news: DataFrame, *, week: str, ticker: str, ts: str, day: str, item: str, text: str, score: str, per_article: int = 2000, **limits: int) -> DataFrame:
-    """(week, ticker, context): the chosen articles of a week in order of time, each cut
-    to ``per_article`` characters, separated by a line of dashes."""
+def weekly_context(news: DataFrame, *, week: str, ticker: str, ts: str, day: str, item: str, text: str, score: str, per_article: int | None = None, **limits: int) -> DataFrame:
+    """(week, ticker, context, n_cut): the chosen articles of a week in order of time,
+    separated by a line of dashes. Articles are whole; with ``per_article`` each is cut to so
+    many characters, and n_cut counts those that were."""
     n = news.withColumn("_len", F.length(text))
     picked = budgeted_context(n, group=[week, ticker], day=day, score=score, ts=ts, item=item, n_chars="_len", per_article=per_article, **limits)
-    texts = news.select(week, ticker, F.col(item).alias("item"), F.substring(text, 1, per_article).alias("_t")).dropDuplicates([week, ticker, "item"])
-    g = picked.join(texts, [week, ticker, "item"]).groupBy(week, ticker).agg(F.array_sort(F.collect_list(F.struct("pick_no", "_t"))).alias("a"))
-    return g.select(week, ticker, F.array_join(F.transform("a", lambda x: x["_t"]), "\n---\n").alias("context"))
+    cut = F.substring(text, 1, per_article) if per_article else F.col(text)
+    texts = news.select(week, ticker, F.col(item).alias("item"), cut.alias("_t"), (F.length(text) > F.length(cut)).cast("int").alias("_c")).dropDuplicates([week, ticker, "item"])
+    g = picked.join(texts, [week, ticker, "item"]).groupBy(week, ticker).agg(F.array_sort(F.collect_list(F.struct("pick_no", "_t"))).alias("a"), F.sum("_c").cast("int").alias("n_cut"))
+    return g.select(week, ticker, F.array_join(F.transform("a", lambda x: x["_t"]), "\n---\n").alias("context"), "n_cut")
 
 
 def technical_rows(history: DataFrame, *, keys: list[str], columns: list[str], min_rows: int = 4) -> DataFrame:
@@ -117,13 +119,14 @@ ROLES = (("business", 0.0), ("risk", 0.2), ("skeptic", 0.4), ("judge", 0.0))
 
 def tier2_panel(panel: DataFrame, sources: list[str], roles=ROLES) -> DataFrame:
     """(week, ticker, role_signal, role_risk_score, role_confidence...): four roles in turn,
-    each reading the context and the verdicts so far."""
+    each reading the context and the verdicts so far. A row passes through the roles as it is,
+    without a join, so each role is asked once a row whatever the optimiser does."""
     keys = ["week", "ticker"]
     out = panel.select(*keys, *[f"{s}_{c}" for s in sources for c in ("signal", "risk_score", "confidence")])
     seen = list(sources)
     for role, caution in roles:
-        said = call_analyst(out.withColumn("_ctx", context_json(seen)), key=keys, text="_ctx", analyst=WeighingAnalyst(caution))
-        out = out.join(_prefixed(signals_from_replies(said, "reply"), role, keys).drop(f"{role}_rationale"), keys)
+        said = call_analyst(out.withColumn("_ctx", context_json(seen)), key=out.columns, text="_ctx", analyst=WeighingAnalyst(caution))
+        out = _prefixed(signals_from_replies(said, "reply"), role, out.columns).drop(f"{role}_rationale")
         seen.append(role)
     return out.select(*keys, *[f"{r}_{c}" for r, _ in roles for c in ("signal", "risk_score", "confidence")])
 

@@ -148,16 +148,18 @@ def budget_walk(part: pd.DataFrame, per_day: int, most: int, max_chars: int) ->
     return chosen
 
 
-def budgeted_context(df: DataFrame, *, group: list[str], day: str, score: str, ts: str, item: str, n_chars: str, per_day: int = 3, most: int = 20, max_chars: int = 12000, per_article: int = 2000) -> DataFrame:
+def budgeted_context(df: DataFrame, *, group: list[str], day: str, score: str, ts: str, item: str, n_chars: str, per_day: int = 3, most: int = 20, max_chars: int = 12000, per_article: int | None = None) -> DataFrame:
     """(group..., item, pick_no) of the articles a weekly context holds, by time.
+    per_article: length beyond which an article costs no more, for contexts that cut it there.
 
     Of articles of one day and one (capped) length only the best ``most`` can be chosen:
     when a better one of equal length was skipped for lack of room, room only shrank
     since. This cut bounds a group at days x lengths x ``most`` before it is gathered.
     """
     ship_package(df.sparkSession)
-    d = df.select(*group, F.col(day).cast("string").alias("day"), F.col(score).cast("double").alias("score"), F.col(ts).cast("long").alias("ts"), F.col(item).alias("item"), F.least(F.col(n_chars), F.lit(per_article)).cast("long").alias("cost")).dropna()
-    w = Window.partitionBy(*group, "day", "cost").orderBy(F.desc("score"), F.desc("ts"), "item")
+    d = df.select(*group, F.col(day).cast("string").alias("day"), F.col(score).cast("double").alias("score"), F.col(ts).cast("long").alias("ts"), F.col(item).alias("item"), (F.least(F.col(n_chars), F.lit(per_article)) if per_article else F.col(n_chars)).cast("long").alias("cost")).dropna()
+    # above the budget all lengths are alike: such an item can only be the first
+    w = Window.partitionBy(*group, "day", F.least("cost", F.lit(max_chars + 1))).orderBy(F.desc("score"), F.desc("ts"), "item")
     d = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -166,12 +166,15 @@ STEP_COLUMNS = ["step", "day_idx", "intent_weights", "executed_weights", "trade_
 STEP_SCHEMA = "run_id string, step int, day_idx int, intent_weights array<double>, executed_weights array<double>, trade_shares array<double>, " + ", ".join(f"{c} double" for c in STEP_COLUMNS[5:])
 
 
-def panel_arrays(df: DataFrame, *, period: str, entity: str, price: str, risk: str | None = None, exposure: str | None = None) -> DataFrame:
+def panel_arrays(df: DataFrame, *, period: str, entity: str, price: str, risk: str | None = None, exposure: str | None = None, strict: bool = False) -> DataFrame:
     """(period, prices, turbulence, exposure) for periods in which every entity of the frame
-    has a price; arrays run in order of the entity's name."""
+    has a price; arrays run in order of the entity's name. strict: a period that lacks a price
+    is an error instead of being left out."""
     n = df.agg(F.count_distinct(entity)).scalar()
     item = F.struct(F.col(entity).alias("e"), F.col(price).cast("double").alias("p"), (F.coalesce(F.col(exposure).cast("double"), F.lit(0.0)) if exposure else F.lit(0.0)).alias("x"))
     g = df.where(F.col(price).isNotNull()).groupBy(period).agg(F.array_sort(F.collect_set(item)).alias("a"), F.count_distinct(entity).alias("_k"), (F.max(risk) if risk else F.lit(0.0)).cast("double").alias("turbulence"))
+    if strict:
+        g = g.withColumn("_k", F.when(F.col("_k") == n, F.col("_k")).otherwise(F.raise_error(F.concat(F.lit("a price is missing in period "), F.col(period).cast("string"))).cast("long")))
     g = g.where(F.col("_k") == n)
     return g.select(period, F.transform("a", lambda i: i["p"]).alias("prices"), F.coalesce("turbulence", F.lit(0.0)).alias("turbulence"), F.transform("a", lambda i: i["x"]).alias("exposure"))
 

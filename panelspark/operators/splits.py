@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import datetime as dt
 
 from pyspark.sql import DataFrame
@@ -64,7 +66,11 @@ def run_name(overrides: dict[str, object], limit: int = 120) -> str:
             return f"{v:g}"
         return "+".join(show(x) for x in v) if isinstance(v, (list, tuple)) else str(v)
 
-    return "__".join(f"{k.rsplit('.', 1)[-1]}_{show(v)}" for k, v in overrides.items())[:limit]
+    name = "__".join(f"{k.rsplit('.', 1)[-1]}_{show(v)}" for k, v in overrides.items())
+    if len(name) <= limit:
+        return name
+    end = hashlib.sha256(name.encode()).hexdigest()[:10]  # names that begin alike stay apart
+    return f"{name[: limit - 11]}-{end}"
 
 
 def set_path(config: dict, key: str, value: object) -> dict:

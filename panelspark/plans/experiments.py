@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import metrics as mt
@@ -174,13 +173,12 @@ def max_abs_scales(spark, d):
     return mt.max_abs(bars(spark, d), ["log_ret", "turbulence"]).select(num("log_ret", "log_ret"), num("turbulence", "turbulence"))
 
 
-@query(f"""WITH r AS (SELECT c_custkey AS run_id, c_acctbal AS nav, sum(o_totalprice) AS cost, CAST(count(o_orderkey) AS DOUBLE) AS trades FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
-s AS (SELECT run_id, coalesce(nav, 0) * 1.0 + coalesce(trades, 0) * 2.5::DOUBLE - coalesce(cost, 0) * 0.001::DOUBLE AS score FROM r) SELECT run_id, {sql_num('score', 'score', 3)}, CAST(row_number() OVER (ORDER BY floor(score * 1000 + 0.3137) DESC, run_id) AS INTEGER) AS rank FROM s""")
+@query(f"""WITH r AS (SELECT c_custkey AS run_id, c_acctbal AS nav, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS cost, CAST(count(o_orderkey) AS DOUBLE) AS trades FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
+s AS (SELECT run_id, coalesce(nav, 0)::DOUBLE * 1.0::DOUBLE + coalesce(trades, 0)::DOUBLE * 2.5::DOUBLE + coalesce(cost, 0)::DOUBLE * (-0.001)::DOUBLE AS score FROM r) SELECT run_id, {sql_num('score', 'score', 3)}, CAST(row_number() OVER (ORDER BY score DESC, run_id) AS INTEGER) AS rank FROM s""")
 def run_ranking(spark, d):
-    o = table(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderkey").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("cost"), F.count("o_orderkey").cast("double").alias("trades"))
+    o = table(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderkey").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("cost"), F.count("o_orderkey").cast("double").alias("trades"))
     r = table(spark, d, "customer", "c_custkey", "c_acctbal").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("run_id"), F.col("c_acctbal").cast("double").alias("nav"), "cost", "trades")
-    s = mt.score_runs(r.withColumn("_one", F.lit(0)), {"nav": 1.0, "trades": 2.5, "cost": -0.001})
-    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.floor(F.col("score") * 1000 + 0.3137)), "run_id")))
+    s = mt.score_runs(r, {"nav": 1.0, "trades": 2.5, "cost": -0.001})
     return s.select("run_id", num("score", "score", 3), "rank")
 
 

@@ -130,7 +130,7 @@ f2 AS (SELECT week, arg_max(p, rn) AS p FROM w2 GROUP BY week), u AS (SELECT wee
 def budgeted_context(spark, d):
     x = tiered(spark, d).where("n_chars >= 40")
     x = x.withColumn("score", sel.score_v2(tier=F.col("source_tier"), n_chars=F.col("n_chars"), ts=F.col("ts"), end=F.col("w_end")))
-    return sel.budgeted_context(x, group=["week"], day="day", score="score", ts="ts", item="doc_id", n_chars="n_chars").withColumnRenamed("item", "doc_id")
+    return sel.budgeted_context(x, group=["week"], day="day", score="score", ts="ts", item="doc_id", n_chars="n_chars", per_article=2000).withColumnRenamed("item", "doc_id")
 
 
 UNIVERSE = """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.plans.base import num, sql_num
-from panelspark.sources.tables import table
 from panelspark.streaming import events as ev
 
 Q: dict = {}
@@ -41,7 +40,7 @@ def stream_first_of_key(spark, d):
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    x = ev.session_counts(table(spark, d, "events", "user_id", "ts"), ts="ts", key="user_id", gap="6 hours")
+    x = ev.drain(ev.session_counts(stream(spark, d).select("user_id", "ts"), ts="ts", key="user_id", gap="6 hours"), "sessions", "complete")
     return x.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import timeshape
-from panelspark.sources.tables import table
+from panelspark.sources.tables import table, zone_names
 
 
 NEW_YORK = "America/New_York"
@@ -15,7 +15,7 @@ NEW_YORK = "America/New_York"
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four fields as one column of values, so each mask is looked up in one pass."""
     zones = table(spark, sf_dir, "source_zones").select(F.col("source").alias("sz_source"), "zone", "date_order").dropDuplicates(["sz_source"])
-    names = [r.zone for r in zones.select("zone").distinct().limit(700).collect()]  # IANA names
+    names = zone_names(zones)
     news = table(spark, sf_dir, "news", "doc_id", "source", "published_at_utc").join(F.broadcast(zones), F.col("source") == F.col("sz_source"), "left")
     field = lambda df, name, key, date, zone=F.lit(NEW_YORK), dmy=F.lit(False): df.select(F.lit(name).alias("field_name"), F.col(key).alias("rec_key"), F.col(name.split(".")[1]).alias("raw"), zone.alias("zone"), dmy.alias("dmy"), F.lit(date).alias("is_date"))
     rows = (

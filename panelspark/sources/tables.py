@@ -19,11 +19,22 @@ def ticker_key(c: str = "ticker") -> Column:
     return F.when(t != "", t)
 
 
+#: Names in the IANA list of zones, with room.
+MAX_ZONES = 1000
+
+
+def zone_names(zones: DataFrame) -> list[str]:
+    """Distinct names in ``zone``; more than there are zones is an error."""
+    names = [r.zone for r in zones.select("zone").dropna().distinct().limit(MAX_ZONES + 1).collect()]
+    if len(names) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} zone names")
+    return names
+
+
 def news_times(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """News with ``published_s``; the local zone and day order come from source_zones."""
     zones = table(spark, sf_dir, "source_zones").select(F.col("source").alias("sz_source"), "zone", "date_order").dropDuplicates(["sz_source"])
-    # 38 sources, fixed: a dimension whose zone names are bounded by the IANA list.
-    names = [r.zone for r in zones.select("zone").distinct().limit(700).collect()]
+    names = zone_names(zones)
     cols = dict.fromkeys([*columns, "published_at_utc", "source"])
     df = table(spark, sf_dir, "news", *cols)
     df = df.join(F.broadcast(zones), F.col("source") == F.col("sz_source"), "left")

@@ -307,3 +307,17 @@ def test_metrics_edges(spark):
     assert abs(c.corr_b - 1) < 1e-12 and c.corr_k is None
     r = mt.score_runs(spark.createDataFrame([("x", 1.0, None), ("y", 1.0, 5.0)], "run_id string, a double, b double"), {"a": 1.0, "b": 0.1}).orderBy("rank").collect()
     assert [x.run_id for x in r] == ["y", "x"]
+
+
+def test_long_run_names_stay_apart():
+    a, b = ({"rl.cols": ["column"] * 40 + [x]} for x in "ab")
+    assert len(sp.run_name(a)) <= 120 and sp.run_name(a) != sp.run_name(b)
+
+
+def test_ranks_over_ranges_equal_one_sort(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, float(rng.randrange(40)), rng.random()])) for i in range(3000)]
+    got = {r.run_id: r["rank"] for r in mt.score_runs(spark.createDataFrame(rows, "run_id int, x double"), {"x": 2.0}).collect()}
+    order = sorted(rows, key=lambda r: (-(r[1] or 0.0) * 2.0, r[0]))
+    assert got == {r[0]: k + 1 for k, r in enumerate(order)}
+    assert mt.score_runs(spark.createDataFrame([], "run_id int, x double"), {"x": 2.0}).count() == 0

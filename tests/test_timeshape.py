@@ -1,4 +1,5 @@
 import datetime as dt
+import zoneinfo
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -104,3 +105,24 @@ def test_the_sessions_zone_does_not_matter(spark):
         assert run(spark, values) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_release_is_the_one_read():
+    """The tables agree with the folder whose release is reported."""
+    base = ts._release()
+    if base is None:
+        pytest.skip("no wheel")
+    import tzdata
+
+    assert ts.zone_version() == tzdata.IANA_VERSION
+    with (base / "America" / "New_York").open("rb") as f:
+        own = zoneinfo.ZoneInfo.from_file(f)
+    at = dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc)
+    assert ts._zone("America/New_York").utcoffset(at) == own.utcoffset(at)
+    with pytest.raises(zoneinfo.ZoneInfoNotFoundError):
+        ts._zone("No/Where")
+
+
+def test_unknown_masks_are_counted(spark):
+    df = spark.createDataFrame([("2024-01-02",), ("??7??",), ("??8??",), ("",), (None,)], "x string")
+    assert [(r.n, r.example) for r in ts.unknown_masks(df, "x").collect()] == [(2, "??7??")]
