@@ -66,6 +66,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df.distinct()`` where few keys repeat: only rows whose key occurs more than once are
+    shuffled. The repeated keys are measured; beyond the broadcast limit all rows are."""
+    again = cut_lineage(df.groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"))
+    size = again.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col("_key").cast("string"))), F.lit(0))).first()
+    if size[0] * 64 + size[1] > BROADCAST_LIMIT:
+        return df.distinct()
+    again = F.broadcast(again)
+    on = df[key].eqNullSafe(again["_key"])
+    return df.join(again, on, "left_anti").union(df.join(again, on, "left_semi").distinct())
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size of a relation; exact for a checkpoint or a scan without filter."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
