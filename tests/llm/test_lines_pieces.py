@@ -138,3 +138,17 @@ def test_overlap_is_kept_in_bounds():
         spans = cut(text, 600, 80)
         for (s0, n0, e0), (s, n, e) in zip(spans, spans[1:]):
             assert e - s <= 600 and n == e0 and min(50, e0 - s0) <= n - s <= 80
+
+
+def test_many_frequent_lines_are_joined_back(spark, monkeypatch):
+    """Beyond the set within the expression the result is the same."""
+    from panelspark.llm import lines as ll
+
+    rng = random.Random(7)
+    docs = [(f"d{i}", rng.choice(["s", "t", None]), "\n".join(rng.choice(["Foot, 12", "head", f"own {i} {chr(97 + i % 26)}x", "", "99"]) for _ in range(6))) for i in range(60)]
+    df = spark.createDataFrame([*docs, *docs[:5], ("n", "s", None), (None, "s", "head")], "doc_id string, source string, text string")
+    args = {"group": "source", "doc": "doc_id", "text": "text", "min_docs": 5}
+    want = sorted(map(tuple, ll.remove_repeated_lines(df, **args).collect()), key=repr)
+    monkeypatch.setattr(ll, "IN_PLACE", 0)
+    assert sorted(map(tuple, ll.remove_repeated_lines(df, **args).collect()), key=repr) == want
+    assert any(r[-1] > 0 for r in want)
