@@ -38,6 +38,23 @@ def attach(panel: DataFrame, facts: DataFrame, on: list[str], defaults: dict[str
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(facts.schema[c].dataType)) for c, v in defaults.items()})
 
 
+def merge_back(panel: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """The panel with the columns of ``facts`` joined on the keys; of columns that both have
+    the facts' are kept. Facts must be unique by key; rows without a match get null."""
+    new = [c for c in facts.columns if c not in on]
+    return panel.drop(*new).join(facts, on, "left")
+
+
+def market_fill(df: DataFrame, *, day: str, columns: list[str]) -> DataFrame:
+    """Series that belong to the market as a whole, one value a day, carried forward over
+    days without one and joined to every row. A day's value is its largest; days before the
+    first value get null. The carrying runs over the distinct days, which the calendar bounds."""
+    days = df.where(F.col(day).isNotNull()).groupBy(day).agg(*[F.max(F.nanvl(F.col(c), F.lit(None))).alias(c) for c in columns])
+    order = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select(day, *[F.last(c, ignorenulls=True).over(order).alias(c) for c in columns])
+    return merge_back(df, days, [day])
+
+
 def coverage(df: DataFrame, *, period: str, entity: str, universe: DataFrame) -> DataFrame:
     """Per period the number of universe members present, those missing, and
     whether all are there. universe: one column, a list the caller keeps small."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.plans import experiments, joins, market, panels, periods, selecting, streams, texts, times
+from panelspark.plans import experiments, joins, market, panels, periods, selecting, storage, streams, texts, times
 
-MODULES = (times, periods, market, joins, selecting, experiments, texts, panels, streams)
+MODULES = (times, periods, market, joins, selecting, experiments, texts, panels, streams, storage)
 
 
 def queries() -> dict:

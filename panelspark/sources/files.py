@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.operators.panel import resume_keys
+from panelspark.session import cut_lineage
 
 #: One step of a run log.
 STEP_LOG = T.StructType([
@@ -47,7 +49,7 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
     makes the output. Call it again after a failure: what is there stays as it is."""
     spark = df.sparkSession
     todo = resume_keys(df, spark.read.parquet(path), keys) if exists(spark, path) else df
-    todo = todo.dropDuplicates(keys).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else todo.dropDuplicates(keys).persist()
+    todo = cut_lineage(todo.dropDuplicates(keys))
     n = todo.count()
     if n:
         todo.write.mode("append").parquet(path)
@@ -66,13 +68,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines; blank and broken lines are skipped."""
+    """JSON lines; blank and broken lines are skipped (``broken_lines`` counts the latter)."""
     schema = schema if isinstance(schema, str) else T.StructType(list(schema))
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "value").where(F.try_parse_json("value").isNotNull())
     return parsed.select("r.*")
 
 
+def broken_lines(spark: SparkSession, path: str) -> int:
+    """Lines, not blank, that ``read_jsonl`` leaves out because they are no JSON."""
+    return spark.read.text(path).where((F.length(F.trim("value")) > 0) & F.try_parse_json("value").isNull()).count()
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Timestamps and arrays become JSON as they are; NaN becomes null."""
     plain = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
@@ -108,6 +115,16 @@ def latest_run(runs: DataFrame, run_dir: str = "run_dir") -> DataFrame:
     return runs.orderBy(F.desc(run_dir)).limit(1)
 
 
+def write_run(spark: SparkSession, root: str, run_id: str, row: dict, name: str = "run_row") -> None:
+    """One run's row in its place, in whatever file system ``root`` names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_paths(root, run_id)[name])
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(json.dumps(row), "utf-8"))
+    finally:
+        out.close()
+
+
 def run_paths(root: str, run_id: str) -> dict[str, str]:
     """The standard places of a run's files."""
     base = f"{root.rstrip('/')}/{run_id}"
