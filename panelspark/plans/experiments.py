@@ -58,10 +58,19 @@ def macd_signal(spark, d):
     return x.select("ticker", day("date"), *[num(F.when(~F.isnan(c), F.col(c)), c) for c in ("macd_signal", "macd_hist")])
 
 
-@query()
+_MOVES = """, n AS (SELECT ticker, date, row_number() OVER w AS rn, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn,
+ greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+k AS (SELECT ticker, date, rn, tr, CASE WHEN up IS NULL THEN NULL WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn IS NULL THEN NULL WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS m FROM n),
+r AS (SELECT ticker, date, rn, p, m, tr AS t FROM k WHERE rn = 1
+ UNION ALL SELECT k.ticker, k.date, k.rn, CASE WHEN k.p IS NULL THEN r.p WHEN r.p IS NULL THEN k.p ELSE r.p + 1 / 30.0::DOUBLE * (k.p - r.p) END,
+  CASE WHEN k.m IS NULL THEN r.m WHEN r.m IS NULL THEN k.m ELSE r.m + 1 / 30.0::DOUBLE * (k.m - r.m) END, CASE WHEN k.tr IS NULL THEN r.t WHEN r.t IS NULL THEN k.tr ELSE r.t + 1 / 30.0::DOUBLE * (k.tr - r.t) END
+ FROM r JOIN k ON k.ticker = r.ticker AND k.rn = r.rn + 1)"""
+
+
+@query("WITH RECURSIVE " + BARS + _MOVES + f" SELECT ticker, CAST(date AS VARCHAR) AS date, {sql_num('CASE WHEN p / nullif(t, 0) + m / nullif(t, 0) > 0 THEN 100 * abs(p / t - m / t) / (p / t + m / t) END', 'dx', 4)} FROM r")
 def directional_index(spark, d):
     x = recursive_indicators(bars(spark, d))
-    return x.select("ticker", day("date"), num(F.when(~F.isnan("dx"), F.col("dx")), "dx"))
+    return x.select("ticker", day("date"), num(F.when(~F.isnan("dx"), F.col("dx")), "dx", 4))
 
 
 @query()
