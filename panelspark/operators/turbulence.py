@@ -2,7 +2,8 @@
 
 The operator looks at all entities of a day at once, so time is what it is split by: days get
 a dense number, and a block of them is sent to a task together with the ``window`` days
-before. Each row travels to 1 + ceil(window / block) tasks whatever the length of history.
+before. Each row travels to 1 + ceil(window / block) tasks whatever the length of history;
+an entity without a row in a task's days is only counted there.
 """
 
 from __future__ import annotations
@@ -33,20 +34,33 @@ def mahalanobis(today: np.ndarray, past: np.ndarray, min_rows: int) -> float:
     return value if math.isfinite(value) and value > 0 else 0.0
 
 
-def older_distance(today: np.ndarray, past: np.ndarray) -> float:
+def older_distance(today: np.ndarray, past: np.ndarray, idle: int = 0) -> float:
     """As many leading past rows are trimmed as the column with the fewest gaps has gaps,
     then columns with a gap are dropped. 0 without a column, two rows, or a value today.
-    Singular values at rounding level count as 0."""
+    Singular values at rounding level count as 0. idle: further columns that are 0 in every
+    row; like those of ``past`` they add nothing but to the size that sets the rounding level.
+
+    The rows span no more dimensions than there are rows, so the smaller of the covariance
+    and the rows' products is decomposed; both have the same values other than 0.
+    """
     if not past.size:
         return 0.0
-    rows = past[np.isnan(past).sum(axis=0).min() :]
-    use = ~np.isnan(rows).any(axis=0)
+    none = np.isnan(past)
+    trim = 0 if idle else none.sum(axis=0).min()
+    rows, use = past[trim:], ~none[trim:].any(axis=0)
     if len(rows) < 2 or not use.any() or np.isnan(today[use]).any():
         return 0.0
-    rows = rows[:, use]
-    gap = today[use] - rows.mean(axis=0)
-    cov = np.atleast_2d(np.cov(rows, rowvar=False, ddof=1))
-    value = float(gap @ np.linalg.pinv(cov, rcond=len(cov) * np.finfo(float).eps) @ gap)
+    live = use & (rows != 0).any(axis=0)
+    if not live.any():
+        return 0.0
+    rows = rows[:, live]
+    mean = rows.mean(axis=0)
+    rows, gap = rows - mean, today[live] - mean
+    wide = rows.shape[1] > len(rows)
+    size, axis = np.linalg.eigh(rows @ rows.T if wide else rows.T @ rows)
+    keep = size > (int(use.sum()) + idle) * np.finfo(float).eps * size.max()
+    along = axis[:, keep].T @ (rows @ gap if wide else gap)
+    value = float((len(rows) - 1) * (along**2 / size[keep] ** (2 if wide else 1)).sum())
     return value if math.isfinite(value) and value > 0 else 0.0
 
 
@@ -59,37 +73,44 @@ def turbulence(df: DataFrame, *, entity: str = "ticker", day: str = "date", valu
     undefined distances too. W17, the older form: with ``older`` an entity's price is
     carried over gaps and past its last day (return 0, as pandas before 3 does by default),
     and ``older_distance`` drops entities instead of days, whatever ``min_rows``;
-    skip_first: so many first positive values are set to 0. Entities form the columns of a matrix, so their number must be a
+    skip_first: so many first positive values are set to 0. Rows without entity are left out,
+    two of an entity and day are an error. Entities form the columns of a matrix, so their number must be a
     universe's, not a market's.
     """
     ship_package(df.sparkSession)
     w = Window.partitionBy(entity).orderBy(day)
-    x = df.where(F.col(value).isNotNull()).select(entity, day, (F.col(value) / F.nullif(F.lag(value).over(w), F.lit(0.0)) - 1).alias("r"))
-    days = df.select(day).distinct()
-    packed = x.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(F.col(entity), F.col("r")))).alias("m"))
-    packed = dense_index(days.join(packed, day, "left"), day, "i")
-    # one row: the first day of each entity of the universe
-    first_days = x.groupBy(entity).agg(F.min(day).alias("at")).agg(F.map_from_entries(F.collect_list(F.struct(entity, "at")))).scalar()
-    packed = packed.withColumn("starts", first_days) if older else packed
+    x = df.where(F.col(value).isNotNull() & F.col(entity).isNotNull()).select(
+        F.col(entity).alias("e"), day, (F.col(value) / F.nullif(F.lag(value).over(w), F.lit(0.0)) - 1).alias("r"), (F.row_number().over(w) == 1).alias("first")
+    )
+    days = dense_index(df.select(day).distinct(), day, "i")
+    if older:  # entities that began before a day; one row a day: a running count over the calendar
+        begun = days.join(x.where("first").groupBy(day).agg(F.count("*").alias("n")), day, "left")
+        days = begun.select(day, "i", F.coalesce(F.sum("n").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
     reach = math.ceil(window / block)
-    sent = packed.withColumn("b", F.explode(F.sequence(F.floor(F.col("i") / block), F.floor(F.col("i") / block) + reach)))
+    sent = days.join(x, day, "left").withColumn("b", F.explode(F.sequence(F.floor(F.col("i") / block), F.floor(F.col("i") / block) + reach)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i").reset_index(drop=True)
-        maps = [dict(m) if m is not None else {} for m in part["m"]]
-        names = sorted({k for m in maps for k in m})
-        grid = np.array([[m.get(k) if m.get(k) is not None else np.nan for k in names] for m in maps], float).reshape(len(part), len(names))
+        days = part.drop_duplicates("i").sort_values("i")
+        index, rows = days["i"].to_numpy(), part[part["e"].notna()]
+        at = np.searchsorted(index, rows["i"].to_numpy())
+        col, names = pd.factorize(rows["e"], sort=True)
+        there = np.zeros((len(index), len(names)), bool)
+        there[at, col] = True
+        if there.sum() < len(rows):
+            raise ValueError("more than one row of an entity and day")
+        grid = np.full(there.shape, np.nan)
+        grid[at, col] = rows["r"].to_numpy(float)
+        first, b, idle = int(index[0]), int(part["b"].iloc[0]), 0
         if older:
-            starts = dict(part["starts"].iloc[0])
-            names = sorted(starts)
-            cell = lambda m, k, at: (np.nan if m[k] is None else m[k]) if k in m else 0.0 if at > starts[k] else np.nan
-            grid = np.array([[cell(m, k, at) for k in names] for m, at in zip(maps, part[day])], float).reshape(len(part), len(names))
-        first, b = int(part["i"].iloc[0]), int(part["b"].iloc[0])
-        distance = older_distance if older else lambda today, past: mahalanobis(today, past, min_rows)
+            since, new = np.full(len(names), -1), rows["first"].to_numpy(bool)
+            since[col[new]] = at[new]
+            grid[~there & (np.arange(len(index))[:, None] > since)] = 0.0
+            idle = int(days["begun"].iloc[0]) - int((since < 0).sum())  # their last day is before all of these: 0 throughout
+        distance = (lambda today, past: older_distance(today, past, idle)) if older else lambda today, past: mahalanobis(today, past, min_rows)
         out = []
-        for at, i in enumerate(part["i"]):
+        for k, i in enumerate(index):
             if i // block == b:
-                out.append((part[day].iloc[at], int(i), distance(grid[at], grid[max(0, at - window) : at]) if i >= window and i - first >= min(window, i) else 0.0))
+                out.append((days[day].iloc[k], int(i), distance(grid[k], grid[max(0, k - window) : k]) if i >= window and i - first >= min(window, i) else 0.0))
         return pd.DataFrame(out, columns=["day", "i", "turbulence"])
 
     res = sent.groupBy("b").applyInPandas(run, f"day {df.schema[day].dataType.simpleString()}, i int, turbulence double")

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from panelspark.operators import simulate as sim
 from panelspark.operators import splits as sp
 from panelspark.operators import weekly as wk
 from panelspark.operators.recursive import ema, recursive_indicators, rsi, true_range
-from panelspark.operators.turbulence import mahalanobis, turbulence
+from panelspark.operators.turbulence import mahalanobis, older_distance, turbulence
 
 
 def bars(spark, n=40, tickers=("A", "B", "C"), seed=0):
@@ -171,6 +172,37 @@ def test_older_turbulence_drops_entities_not_days(spark):
     assert np.allclose(got, want) and (got[27:] > 0).all() and got[:27].max() == 0
 
 
+def test_older_turbulence_of_a_wide_panel():
+    """Far more entities than days: a matrix of their squared number isn't decomposed for each day."""
+    r = np.random.default_rng(6)
+    past, today = r.normal(0, 0.01, (60, 3000)), r.normal(0, 0.01, 3000)
+    past[:, 1000:], today[2000:] = 0.0, 0.0  # most stand still; half of these move again today
+    began = time.monotonic()
+    got = [older_distance(today * k, past) for k in (1, 2, 3, 4, 5)]
+    assert time.monotonic() - began < 3
+    c = (past - past.mean(axis=0))[:, :1000]
+    want = [float(np.sum((np.linalg.pinv(c.T) @ (today * k - past.mean(axis=0))[:1000]) ** 2) * 59) for k in (1, 2, 3, 4, 5)]
+    assert np.allclose(got, want)
+
+
+def test_older_turbulence_counts_entities_that_ended_long_ago(spark):
+    r = np.random.default_rng(7)
+    p = np.exp(np.cumsum(r.normal(0, 0.01, (130, 12)), axis=0))
+    for j in range(12):
+        p[: 9 * j, j] = p[9 * j + 30 :, j] = np.nan
+    day = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(130)]
+    df = spark.createDataFrame([(f"T{j:02}", day[i], float(p[i, j])) for i in range(130) for j in range(12) if p[i, j] == p[i, j]], "ticker string, date date, close double")
+    got = turbulence(df, window=20, block=8, older=True).toPandas().sort_values("date")["turbulence"].to_numpy()
+    ret = pd.DataFrame(p).ffill().pct_change(fill_method=None)
+    want = [0.0] * 20
+    for i in range(20, len(got)):
+        past = ret.iloc[i - 20 : i]
+        past = past.iloc[past.isna().sum().min() :].dropna(axis=1)
+        gap = (ret.iloc[i][past.columns] - past.mean()).to_numpy()
+        want.append(float(gap @ np.linalg.pinv(past.cov().to_numpy(), rcond=past.shape[1] * 2.3e-16) @ gap))
+    assert np.allclose(got, want) and (got > 0).sum() > 90
+
+
 def test_distance_needs_rows():
     assert mahalanobis(np.array([0.1, np.nan]), np.full((30, 2), np.nan), 5) == 0
     assert mahalanobis(np.array([0.1]), np.random.default_rng(0).normal(size=(4, 1)), 5) == 0
