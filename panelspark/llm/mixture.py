@@ -67,13 +67,13 @@ def attainable(wanted: np.ndarray, axis: np.ndarray, source: np.ndarray, tokens:
     one factor, within those two bounds.
     """
     n = len(wanted)
-    own = np.zeros((len(budget), n)) if len(budget) * n <= MAX_CELLS else None
-    if own is None:
-        return wanted
-    np.add.at(own, (source, axis), tokens)
-    whole = own.sum(1, keepdims=True)
-    low = np.maximum(0, budget[:, None] - caps[:, None] * (whole - own)).sum(0)
-    high = np.minimum(budget[:, None], caps[:, None] * own).sum(0)
+    # only pairs of source and category that occur; for the others ``own`` is 0
+    pairs, at = np.unique(source * n + axis, return_inverse=True)
+    own, src, cat = np.bincount(at, tokens, len(pairs)), pairs // n, pairs % n
+    whole = np.bincount(source, tokens, len(budget))
+    bare = np.maximum(0, budget - caps * whole)
+    low = bare.sum() + np.bincount(cat, np.maximum(0, budget[src] - caps[src] * (whole[src] - own)) - bare[src], n)
+    high = np.bincount(cat, np.minimum(budget[src], caps[src] * own), n)
     a, b = 0.0, 1e12
     for _ in range(200):
         mid = (a * b) ** 0.5 if a > 0 else b / 1e6

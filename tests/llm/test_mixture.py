@@ -77,6 +77,31 @@ def test_attainable_marginals():
     assert np.allclose(got, [100, 70])
 
 
+def test_attainable_marginals_of_many_sources_and_categories():
+    """The bounds hold whatever the number of sources and categories."""
+    source, axis, tokens = np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([50.0, 50, 100])
+    caps, budget, wanted = np.ones(2000), np.zeros(2000), np.zeros(1000)
+    caps[0], budget[:2], wanted[:2] = 2.0, [80.0, 90.0], [20.0, 150.0]
+    assert np.allclose(attainable(wanted, axis, source, tokens, caps, budget)[:3], [80, 90, 0])
+
+
+def test_attainable_by_pairs_is_the_whole_table():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        source, axis, tokens = rng.integers(0, 7, 30), rng.integers(0, 5, 30), rng.uniform(1, 100, 30)
+        caps, wanted = rng.integers(1, 4, 7).astype(float), rng.uniform(1, 200, 5)
+        own = np.zeros((7, 5))
+        np.add.at(own, (source, axis), tokens)
+        whole = own.sum(1, keepdims=True)
+        budget = rng.uniform(0, 1, 7) * caps * whole[:, 0]
+        low = np.maximum(0, budget[:, None] - caps[:, None] * (whole - own)).sum(0)
+        high = np.minimum(budget[:, None], caps[:, None] * own).sum(0)
+        got = attainable(wanted, axis, source, tokens, caps, budget)
+        assert (got >= low - 1e-9).all() and (got <= high + 1e-9).all() and np.isclose(got.sum(), budget.sum())
+        inside = (got > low + 1e-6) & (got < high - 1e-6)
+        assert np.allclose(got[inside] / wanted[inside], (got / wanted)[inside].mean() if inside.any() else 0)
+
+
 def test_raking_is_not_source_scaling(spark):
     """By default languages and topics keep the corpus's shares although the sources change."""
     rng = random.Random(3)
