@@ -9,13 +9,14 @@ nodes that are equal up to case and accents or similar (one letter apart, or of
 numbers with the same digits). Loopy message passing settles all nodes of a batch at once,
 in time linear in the links.
 
-Everything is fitted on a bounded sample without hand labels. Titles and plain announcing
+Everything is fitted on the texts themselves, all of them, without hand labels. What the fit
+needs are counts that add up over the parts of a corpus (``count``, ``contexts``). Titles and plain announcing
 words seed a lexicon of given names and a model of family names over beginnings and
 endings; what these mark surely is labelled, what they surely don't mark is labelled as no
 name, the rest is left open. Weights and couplings then maximise the pseudo-likelihood of
 the labels, each node given its neighbours. Every node counts twice, once as it stands and
 once without what the lexicon knows about it (numbers: without their announcing words), so
-context and links have to carry words that the sample never showed.
+context and links have to carry words that the texts never showed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import accumulate
 from typing import NamedTuple
@@ -46,13 +49,16 @@ CUES = {
 }
 # Words that announce another kind of number, for the first labels only.
 OTHERS = {"invoice", "order", "cusip", "isin", "file", "exhibit", "tracking", "build"}
-#: Prior means of potentials and links: what holds where a sample says nothing. Other potentials have 0, other links 0.3.
+#: Prior means of potentials and links: what holds where the texts say nothing. Other potentials have 0, other links 0.3.
 PRIOR = {"b:email": 3.0, "b:phone": 2.0, "b:address": 2.0, "b:id_number": 1.0, "f:grouped": -4.0, "f:nine": -2.5, "f:eleven": -3.0, "check": 1.0, "a:title": 2.0} | {f"w:{k}:{w}": 4.0 for k, v in CUES.items() for w in v} | {f"w:{k}:{w}": -4.0 for k in CUES for w in OTHERS}
 LINK_PRIOR = {"same number": 1.0}
 #: Share of true entities that are announced, at the least; below it a shape is trusted in proportion.
 ANNOUNCED_SHARE = 0.3
-#: Words on either side of a node that are told apart: those of the sample seen this often.
+#: Words on either side of a node that are told apart: those seen this often.
 SEEN = 15
+#: How often a word is seen is counted per so many texts where there are more, so that what counts
+#: as common or new is the same frequency in a corpus of any size.
+PER = 6000
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"([^\W\d_]+)")
 _MAIL = re.compile(r"\S*(?:[@＠]|[(\[{]at[)\]}])\S*")
@@ -80,8 +86,8 @@ def _traits(w: str) -> list[int]:
 @dataclass
 class NameModel:
     """given: share of a word's capitalised uses that are given names; affix: weights of
-    beginnings and endings of family names; counts: (capitalised, small) uses of words in
-    the sample; weights: potential of each feature; couplings: of each kind of link."""
+    beginnings and endings of family names; counts: (capitalised, small) uses of words,
+    per ``PER`` texts; weights: potential of each feature; couplings: of each kind of link."""
 
     given: dict[str, float] = field(default_factory=dict)
     affix: np.ndarray = field(default_factory=lambda: np.zeros(_BUCKETS))
@@ -151,7 +157,7 @@ class Word(NamedTuple):
     before: str  # feature of the word after it
     after: str  # feature of the word before it
     kind: str  # common or open
-    new: bool  # hardly or never seen in the sample
+    new: bool  # hardly or never seen
 
 
 class Nodes:
@@ -361,32 +367,55 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarra
     return w
 
 
-def _lexicon(texts: list[str]) -> NameModel:
-    """Given names, family-name endings and word counts."""
-    every = Nodes(NameModel())  # knows nothing: its nodes are the capitalised words
-    given, family, cap, low = Counter(), Counter(), Counter(), Counter()
-    pairs: Counter = Counter()  # (word, word, joint) side by side
+def count(texts: list[str], every: Nodes | None = None) -> Counter:
+    """{(kind, word, word, joint): n}: what a lexicon is made from. Counts of the parts of a corpus add up to its own."""
+    every = every or Nodes(NameModel())  # knows nothing: its nodes are the capitalised words
+    out, words = Counter({("texts", "", "", ""): len(texts)}), Counter()
     announced = tuple(x.lower() for x in ANNOUNCED)
     for t in texts:
-        for w in _WORD.findall(_MAIL.sub(" ", t)):
-            if len(w) > 1:
-                (low if w[0].islower() else cap)[w] += 1
+        words.update(_WORD.findall(_MAIL.sub(" ", t)))
         nodes = every.name_words(t, [])
         for i, (a, _, w, feats, joint, *_) in enumerate(nodes):
             titled = "a:title" in feats
             ahead = nodes[i + 1][4].strip("|") if i + 1 < len(nodes) else ""
             if joint:
-                pairs[plain(nodes[i - 1][2]), plain(w), joint.strip("|")] += 1
+                out["pair", nodes[i - 1][6].key, nodes[i][6].key, joint.strip("|")] += 1  # side by side
             if titled and ahead in ("", "comma"):
-                family[plain(w)] += 1
+                out["family", plain(w), "", ""] += 1
             elif ahead in ("blank", "initial", "particle") and (titled or t[max(0, a - 14) : a].rstrip().lower().endswith(announced)):
-                given[plain(w)] += 1
-                family[plain(nodes[i + 1][2])] += 1
-    cap, low = (_folded(c) for c in (cap, low))
+                out["given", plain(w), "", ""] += 1
+                out["family", plain(nodes[i + 1][2]), "", ""] += 1
+        for s in every.spans(t):
+            shape = json.dumps(s[5])
+            out["shape", shape, "", ""] += 1
+            out["told", shape, "", ""] += _announced(s) == 1
+    for w, c in words.items():
+        if len(w) > 1:
+            out["low" if w[0].islower() else "cap", plain(w), "", ""] += c
+    return out
+
+
+def lexicon(counts: dict[tuple, int]) -> tuple[NameModel, dict[tuple, float]]:
+    """Given names, family-name endings and word counts; how far each shape of a number is
+    trusted where nothing announces it. The same counts give the same, in any order."""
+    given, family, cap, low, pairs, shapes, told = (Counter() for _ in range(7))
+    kinds = {"given": given, "family": family, "cap": cap, "low": low, "shape": shapes, "told": told}
+    n = 0
+    for (kind, x, y, joint), c in sorted(counts.items()):
+        if kind == "pair":
+            pairs[x, y, joint] = c
+        elif kind == "texts":
+            n = c
+        else:
+            kinds[kind][x] = c
+    scale = min(1.0, PER / max(n, 1))
+    # a shape whose numbers are often announced is trusted where nothing announces it; in binary
+    # fractions, so that sums of them are exact
+    trust = {tuple(json.loads(k)): round(1024 * min(1.0, told[k] / v / ANNOUNCED_SHARE)) / 1024 for k, v in shapes.items()}
     named = lambda w: low[w] <= 0.4 * cap[w] + 1
     model = NameModel()
     # rare words behind another capitalised word may be family names not known yet
-    maybe = {f for _, f, joint in pairs if joint not in ("comma", "line") and cap[f] < SEEN}
+    maybe = {f for _, f, joint in pairs if joint not in ("comma", "line") and cap[f] * scale < SEEN}
     turns = 4
     for turn in range(turns):  # given names lead to family names, these to further given names
         for w, c in given.items():
@@ -400,10 +429,12 @@ def _lexicon(texts: list[str]) -> NameModel:
                     more[g] += c
             elif joint != "line" and g in known and named(f):
                 more[f] += c
-            elif joint == "hyphen" and g in more and named(f):
+        first = set(more)
+        for (g, f, joint), c in pairs.items():
+            if joint == "hyphen" and g not in known and g in first and named(f):
                 more[f] += c
         whole = family | more
-        pos = [w for w in whole if w not in known and len(w) > 3]
+        pos = [w for w in sorted(whole) if w not in known and len(w) > 3]
         neg = [w for w in cap if w not in whole and w not in known and w not in maybe and len(w) > 3] + [w for w in low if low[w] >= 3 and cap[w] < low[w] and len(w) > 3]
         if not pos or not neg:
             model.affix[_traits("")[-1]] = -3.0
@@ -426,15 +457,8 @@ def _lexicon(texts: list[str]) -> NameModel:
                     kinds[g] += 1
         given = Counter({g: max(given[g], good[g]) for g in {*given, *good} if good[g] >= 0.6 * total[g] and (given[g] or kinds[g] >= 3)})
         model.given = {g: v for g, v in model.given.items() if g in given}
-    model.counts = {w: (cap[w], low[w]) for w in {*cap, *low} if cap[w] + low[w] >= 3}
-    return model
-
-
-def _folded(counts: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, c in counts.items():
-        out[plain(w)] += c
-    return out
+    model.counts = {w: (round(cap[w] * scale, 2), round(low[w] * scale, 2)) for w in sorted({*cap, *low}) if (cap[w] + low[w]) * scale >= 3}
+    return model, trust
 
 
 def _announced(span: tuple) -> int:
@@ -470,24 +494,16 @@ def _labels(text: str, nodes: Nodes, words: list) -> list[int]:
     return out
 
 
-def fit(texts: list[str], rounds: int = 150) -> NameModel:
-    """Learns lexicon, potentials and couplings; the same texts give the same model."""
-    model = _lexicon(texts)
-    nodes = Nodes(model)
-    index: dict[str, int] = {f"link:{k}": i for i, k in enumerate(LINKS)}
-    merged: dict[tuple, list[float]] = {}  # nodes that look alike are one row
+def contexts(texts: list[str], nodes: Nodes, trust: dict[tuple, float]) -> dict[str, list[float]]:
+    """{features and labels around a node: [weight, weight of those that are entities]} of the
+    labelled nodes; those that look alike are one. Those of the parts of a corpus add up to its own."""
+    merged: dict[tuple, list[float]] = {}
 
-    def add(feats: tuple, label: float, wt: float, near: dict[str, float]) -> None:
+    def add(feats: tuple, label: float, wt: float, near: dict[str, int]) -> None:
         row = merged.setdefault((feats, tuple(sorted(near.items()))), [0.0, 0.0])
         row[0] += wt
         row[1] += wt * label
 
-    # a shape whose numbers are often announced is trusted where nothing announces it
-    shapes: dict[tuple, list[int]] = {}
-    for t in texts:
-        for s in nodes.spans(t):
-            shapes.setdefault(s[5], []).append(_announced(s))
-    trust = {k: min(1.0, v.count(1) / len(v) / ANNOUNCED_SHARE) for k, v in shapes.items()}
     for t in texts:
         spans = nodes.spans(t)
         marks = [_announced(s) for s in spans]
@@ -501,11 +517,11 @@ def fit(texts: list[str], rounds: int = 150) -> NameModel:
         words = nodes.name_words(t, sorted((s[0], s[1]) for s, v in zip(spans, soft) if v > 0.5))
         labels = _labels(t, nodes, words)
         marks += labels
-        near: list[dict[str, float]] = [{} for _ in marks]
+        near: list[dict[str, int]] = [{} for _ in marks]
         for a, b, kind in nodes.links(spans, words):
             for i, o in ((a, b), (b, a)):
                 if marks[o] >= 0:
-                    near[i][kind] = near[i].get(kind, 0.0) + 2 * marks[o] - 1
+                    near[i][kind] = near[i].get(kind, 0) + 2 * marks[o] - 1
         for s, v, nb in zip(spans, soft, near):
             add(s[4], v, 0.5, nb)
             add(s[5], v, 0.5, nb)
@@ -513,33 +529,48 @@ def fit(texts: list[str], rounds: int = 150) -> NameModel:
             if label >= 0:
                 x = w[6]
                 add((*x.own, *w[3], *(w[5] if x.new else ())), label, 0.5, nb)
-                if x.kind == "open":  # the same word in a text that the sample knows nothing of
+                if x.kind == "open":  # the same word in a text that the lexicon knows nothing of
                     add((*x.bare, *w[3], *w[5]), label, 0.25, nb)
                     add((*x.bare, *w[3], *w[5]), label, 0.25, {})  # nor of the words around it
-    if not merged:
-        model.weights, model.couplings = dict(PRIOR), {k: LINK_PRIOR.get(k, 0.3) for k in LINKS}
-        return model
-    rows, cols, vals = [], [], []
-    for r, (feats, nb) in enumerate(merged):
+    return {json.dumps(k): v for k, v in merged.items()}
+
+
+def weigh(model: NameModel, rows: Iterable[tuple[str, float, float]], rounds: int = 150) -> NameModel:
+    """Adds potentials and couplings to a lexicon, from ``contexts`` (key, weight, weight of
+    entities) in order of their keys."""
+    index: dict[str, int] = {f"link:{k}": i for i, k in enumerate(LINKS)}
+    sizes, cols, vals, weight, y = array("i"), array("i"), array("f"), array("d"), array("d")
+    for key, wt, hits in rows:
+        feats, near = json.loads(key)
         for f in feats:
-            rows.append(r)
             cols.append(index.setdefault(f, len(index)))
             vals.append(1.0)
-        for k, v in nb:
-            rows.append(r)
+        for k, v in near:
             cols.append(index[f"link:{k}"])
             vals.append(2.0 * v)
-    weight = np.array([v[0] for v in merged.values()])
-    y = np.array([v[1] for v in merged.values()]) / weight
+        sizes.append(len(feats) + len(near))
+        weight.append(wt)
+        y.append(hits / wt)
+    if not sizes:
+        model.weights, model.couplings = dict(PRIOR), {k: LINK_PRIOR.get(k, 0.3) for k in LINKS}
+        return model
     for f in PRIOR:
         index.setdefault(f, len(index))
     prior = np.array([LINK_PRIOR.get(f[5:], 0.3) if f.startswith("link:") else PRIOR.get(f, 0.0) for f in index])
-    w = _logistic(np.array(rows), np.array(cols), np.array(vals), y, weight, prior, 0.02, rounds)
+    at = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes))
+    w = _logistic(at, np.array(cols), np.array(vals), np.array(y), np.array(weight), prior, 0.02, rounds)
     model.couplings = {k: float(np.clip(w[i], -0.5, 1.2)) for i, k in enumerate(LINKS)}
     model.weights = {k: round(float(w[i]), 4) for k, i in index.items() if abs(w[i]) > 0.01 and not k.startswith("link:")}
     return model
 
 
+def fit(texts: list[str], rounds: int = 150) -> NameModel:
+    """Learns lexicon, potentials and couplings; the same texts give the same model, in any order."""
+    model, trust = lexicon(count(texts))
+    found = contexts(texts, Nodes(model), trust)
+    return weigh(model, ((k, *found[k]) for k in sorted(found)), rounds)
+
+
 # ---------------------------------------------------------------- tagging
 
 

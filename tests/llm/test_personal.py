@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from panelspark.llm.field import Nodes, Tagger, fit, settle
-from panelspark.llm.personal import find_personal, load_model, redact, save_model
+from panelspark.llm.personal import find_personal, learn, load_model, redact, save_model
 from panelspark.llm.written import checksum
 
 FIRST = ["Mona", "Emil", "Greta", "Hugo", "Irma", "Jonas", "Karla", "Lars"]
@@ -152,3 +152,14 @@ def test_model_is_kept(spark, model, tmp_path):
     again = load_model(spark, str(tmp_path / "m"))
     text = ["Signed: Mona Brandstow, SSN 957-59-3592"]
     assert Tagger(again).tag(text) == Tagger(model).tag(text) and again.weights == model.weights
+
+
+def test_model_is_learned_from_all_documents(spark):
+    """No document is left out, however many there are, and the split of the input doesn't matter."""
+    texts = [f"Contact {FIRST[i % 8]} {LAST[i % 30]} at the desk of Pell Insurance, tel. 786-555-0106." for i in range(6600)]
+    texts += [f"Dr. Zulbekson met {f} Zulbekson." for f in FIRST]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id long, text string")
+    want = fit(texts[::-1])
+    assert learn(df.repartition(7), "text", "doc_id").to_json() == want.to_json()
+    assert want.counts["desk"][1] == pytest.approx(6600 * 6000 / len(texts), abs=0.01)
+    assert len(want.given) == 8
