@@ -61,7 +61,8 @@ SEEN = 15
 PER = 6000
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"([^\W\d_]+)")
-_MAIL = re.compile(r"\S*(?:[@＠]|[(\[{]at[)\]}])\S*")
+_AT = re.compile(r"[@＠]|[(\[{]at[)\]}]")
+_MAIL = re.compile(rf"\S*(?:{_AT.pattern})\S*")
 #: A postcode, in what follows an address.
 _TAIL = re.compile(r"(?i)(?<![\w-])(?:(?:[a-z]{2} )?\d{5}|[a-z]{1,2}\d[a-z\d]? \d[a-z]{2})(?![\w-])")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]")
@@ -373,7 +374,7 @@ def count(texts: list[str], every: Nodes | None = None) -> Counter:
     out, words = Counter({("texts", "", "", ""): len(texts)}), Counter()
     announced = tuple(x.lower() for x in ANNOUNCED)
     for t in texts:
-        words.update(_WORD.findall(_MAIL.sub(" ", t)))
+        words.update(_WORD.findall(_MAIL.sub(" ", t) if _AT.search(t) else t))
         nodes = every.name_words(t, [])
         for i, (a, _, w, feats, joint, *_) in enumerate(nodes):
             titled = "a:title" in feats
@@ -494,13 +495,16 @@ def _labels(text: str, nodes: Nodes, words: list) -> list[int]:
     return out
 
 
-def contexts(texts: list[str], nodes: Nodes, trust: dict[tuple, float]) -> dict[str, list[float]]:
-    """{features and labels around a node: [weight, weight of those that are entities]} of the
-    labelled nodes; those that look alike are one. Those of the parts of a corpus add up to its own."""
-    merged: dict[tuple, list[float]] = {}
+def contexts(texts: list[str], nodes: Nodes, trust: dict[tuple, float], merged: dict[tuple, list[float]] | None = None) -> dict[tuple, list[float]]:
+    """{(features, labels around a node): [weight, weight of those that are entities]} of the
+    labelled nodes, added to ``merged``; nodes that look alike are one. Those of the parts of
+    a corpus add up to its own."""
+    merged = {} if merged is None else merged
 
-    def add(feats: tuple, label: float, wt: float, near: dict[str, int]) -> None:
-        row = merged.setdefault((feats, tuple(sorted(near.items()))), [0.0, 0.0])
+    def add(feats: tuple, label: float, wt: float, near: tuple) -> None:
+        row = merged.get((feats, near))
+        if row is None:
+            row = merged[feats, near] = [0.0, 0.0]
         row[0] += wt
         row[1] += wt * label
 
@@ -522,22 +526,24 @@ def contexts(texts: list[str], nodes: Nodes, trust: dict[tuple, float]) -> dict[
             for i, o in ((a, b), (b, a)):
                 if marks[o] >= 0:
                     near[i][kind] = near[i].get(kind, 0) + 2 * marks[o] - 1
-        for s, v, nb in zip(spans, soft, near):
+        sides = [tuple(sorted(nb.items())) if nb else () for nb in near]
+        for s, v, nb in zip(spans, soft, sides):
             add(s[4], v, 0.5, nb)
             add(s[5], v, 0.5, nb)
-        for w, label, nb in zip(words, labels, near[len(spans) :]):
+        for w, label, nb in zip(words, labels, sides[len(spans) :]):
             if label >= 0:
                 x = w[6]
                 add((*x.own, *w[3], *(w[5] if x.new else ())), label, 0.5, nb)
                 if x.kind == "open":  # the same word in a text that the lexicon knows nothing of
-                    add((*x.bare, *w[3], *w[5]), label, 0.25, nb)
-                    add((*x.bare, *w[3], *w[5]), label, 0.25, {})  # nor of the words around it
-    return {json.dumps(k): v for k, v in merged.items()}
+                    bare = (*x.bare, *w[3], *w[5])
+                    add(bare, label, 0.25, nb)
+                    add(bare, label, 0.25, ())  # nor of the words around it
+    return merged
 
 
 def weigh(model: NameModel, rows: Iterable[tuple[str, float, float]], rounds: int = 150) -> NameModel:
-    """Adds potentials and couplings to a lexicon, from ``contexts`` (key, weight, weight of
-    entities) in order of their keys."""
+    """Adds potentials and couplings to a lexicon, from ``contexts`` (key in JSON, weight,
+    weight of entities) in order of their keys."""
     index: dict[str, int] = {f"link:{k}": i for i, k in enumerate(LINKS)}
     sizes, cols, vals, weight, y = array("i"), array("i"), array("f"), array("d"), array("d")
     for key, wt, hits in rows:
@@ -568,7 +574,7 @@ def fit(texts: list[str], rounds: int = 150) -> NameModel:
     """Learns lexicon, potentials and couplings; the same texts give the same model, in any order."""
     model, trust = lexicon(count(texts))
     found = contexts(texts, Nodes(model), trust)
-    return weigh(model, ((k, *found[k]) for k in sorted(found)), rounds)
+    return weigh(model, sorted((json.dumps(k), *v) for k, v in found.items()), rounds)
 
 
 # ---------------------------------------------------------------- tagging
